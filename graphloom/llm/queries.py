@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm.common import table
 from graphloom.llm.langid import identify
+from graphloom.llm.minhash import near_duplicates
 from graphloom.llm.packing import pack
 from graphloom.llm.tokens import count_tokens
 from graphloom.llm.toxicity import classify
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
