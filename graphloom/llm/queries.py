@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm.common import table
 from graphloom.llm.langid import identify
+from graphloom.llm.licenses import scan
 from graphloom.llm.minhash import near_duplicates
 from graphloom.llm.packing import pack
 from graphloom.llm.tokens import count_tokens
 from graphloom.llm.toxicity import classify
+from graphloom.llm.vectors import near_vectors
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,10 +22,18 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
