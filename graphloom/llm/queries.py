@@ -9,6 +9,7 @@ from graphloom.llm.decontaminate import ORACLE as LEAKS_SQL
 from graphloom.llm.decontaminate import find_leaks
 from graphloom.llm.langid import identify
 from graphloom.llm.licenses import scan
+from graphloom.llm.lm import score
 from graphloom.llm.minhash import near_duplicates
 from graphloom.llm.packing import pack
 from graphloom.llm.tokens import count_tokens
@@ -48,6 +49,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
