@@ -1,8 +1,73 @@
-"""A corpus pipeline of five stages over ``documents``."""
+"""A corpus pipeline of five stages over ``documents``; each stage's result is written and read again.
 
-STAGES: list = []
+Language identification and toxicity drop what they reject, near-duplicates keep one document of each
+group, decontamination drops documents that hold a benchmark item, packing makes sequences of the rest.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.llm import langid, toxicity
+from graphloom.llm.common import settle, table
+from graphloom.llm.decontaminate import find_leaks
+from graphloom.llm.minhash import near_duplicates
+from graphloom.llm.packing import pack
+
+#: A document whose best language has less than this posterior is rejected, as is one without a letter.
+LANGUAGE_SCORE = 0.5
+
+
+def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language; the model is fitted on the labelled rows of the input itself."""
+    model = langid.fit(docs)
+    found = langid.predictor(docs, model, docs["text"])
+    return docs.where((found["lang_pred"] != "und") & (found["score"] >= LANGUAGE_SCORE))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return docs.where(toxicity.scorer_column(docs, model, docs["text"])["predicted"] == 0)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each group at similarity 0.8 over five words; repeated rows of an id stand once; null ids stay."""
+    found = settle(near_duplicates(docs, width=5, percent=80), "near")
+    gone = found.where("not kept").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    repeated = settle(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return left
+    once = left.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return left.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found; null ids cannot be reported and stay."""
+    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs)
+
+
+STAGES = [
+    ("language_id", keep_language),
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("packing", pack_sequences),
+]
+
+#: Compression lengths and summed segmentations have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = settle(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

@@ -12,6 +12,7 @@ from graphloom.llm.licenses import scan
 from graphloom.llm.lm import score
 from graphloom.llm.minhash import near_duplicates
 from graphloom.llm.packing import pack
+from graphloom.llm.quality import resample
 from graphloom.llm.tokens import count_tokens
 from graphloom.llm.toxicity import classify
 from graphloom.llm.vectors import near_vectors
@@ -45,6 +46,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
