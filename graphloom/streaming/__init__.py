@@ -1,0 +1 @@
+"""Reserved: the engine works on static graphs in batch; it has no streaming operators."""
