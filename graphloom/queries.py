@@ -121,7 +121,7 @@ _query("ldf_scan", f"WITH {_P} SELECT id FROM deg WHERE label = 1 AND degree >=
 _query("degree_scan", f"WITH {_P} SELECT id FROM deg WHERE degree >= 100")(lambda s, d: scan.degree_scan(graph(s, d), 100))
 for _kind, _root in (("ldf", 0), ("nlf", 0), ("cfl", 0), ("daf", 1), ("tso", 0), ("gql", 0)):
     _query(f"cand_{_kind}", _candidates_sql(_PRUNED, _kind, _root))(lambda s, d, k=_kind, r=_root: Query(graph(s, d), _PRUNED, Config(pruning=k, root=r)).candidate_table())
-_query("mnd_nlf", _candidates_sql(PATTERNS["edge"], "cfl", 0).split(",\nc0_1")[0] + "\nSELECT 0::INT AS qv, id FROM c0_0 UNION ALL SELECT 1::INT, id FROM c1_0")(lambda s, d: scan.neighbour_labels(graph(s, d), PATTERNS["edge"], largest_degree=True))
+_query("mnd_nlf", _candidates_sql(PATTERNS["edge"], "cfl", 0).split(",\nc1_1")[0] + "\nSELECT 0::INT AS qv, id FROM c0_0 UNION ALL SELECT 1::INT, id FROM c1_0")(lambda s, d: scan.neighbour_labels(graph(s, d), PATTERNS["edge"], largest_degree=True))
 _query("bipartite_index", f"WITH {_P} SELECT src, dst FROM le WHERE sl = 1 AND dl = 2 AND src IN (SELECT src FROM le WHERE dl = 3) AND dst IN (SELECT src FROM le WHERE dl = 3)")(
     lambda s, d: X.candidate_edges(_of(s, d, 1, 2), _of(s, d, 1, 3).select(F.col("src").alias("id")), _of(s, d, 2, 3).select(F.col("src").alias("id")))
 )
