@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -14,6 +15,21 @@ from pyspark.sql import functions as F
 CACHE_ENTRIES = 400_000
 
 
+_tool: list = []
+
+
+def worker_tool(key, make):
+    """An operator's lookup tables and caches, kept in a Python worker between tasks.
+
+    Workers serve all stages of an application, so only one operator's are held at a time.
+    """
+    if not _tool or _tool[0] != key:
+        _tool.clear()
+        gc.collect()
+        _tool[:] = [key, make()]
+    return _tool[1]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import CACHE_ENTRIES, crc_mod, held_out
+from graphloom.llm.common import CACHE_ENTRIES, crc_mod, held_out, worker_tool
 
 _LETTER = re.compile(r"[^\W\d_]")
 RESULT = "lang_pred string, score double"
@@ -254,21 +254,16 @@ def fit(docs: DataFrame, vocabulary_path: str | None = None, docs_per_language:
     return fit_words({k: c for k, c in words.items() if c}, vocabulary_path or default_vocabulary())
 
 
-#: A worker's scorer, kept between tasks of the same model.
-_scorer: list[WordScorer] = []
-
-
 def predictor(df: DataFrame, model: LanguageModel, text: str | Column = "text") -> Column:
     """Column struct<lang_pred, score> for a text column. The model's size is bounded by its vocabulary."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(RESULT)
     def predict(texts: pd.Series) -> pd.DataFrame:
-        if not _scorer or _scorer[0].model is not shared.value:
-            _scorer[:] = [WordScorer(shared.value)]
-        found = []
+        model = shared.value
+        scorer, found = worker_tool(("langid", id(model)), lambda: WordScorer(model)), []
         for at in range(0, len(texts), 512):
-            found += _scorer[0].predict(list(texts[at : at + 512]))
+            found += scorer.predict(list(texts[at : at + 512]))
         return pd.DataFrame(found, columns=["lang_pred", "score"])
 
     return predict(F.col(text) if isinstance(text, str) else text)

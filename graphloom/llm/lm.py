@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import crc_mod, held_out, settle, text_batches
+from graphloom.llm.common import crc_mod, held_out, settle, text_batches, worker_tool
 
 LOG10 = float(np.log(10.0))
 #: Words predicted one by one; words to a class; classes of the other words; hidden and input size.
@@ -279,14 +279,10 @@ def vocabulary(counts: DataFrame, documents: int) -> Vocabulary:
     return Vocabulary([bytes(r["word"]) for r in head], np.array([r["n"] for r in head], np.int64), frequent["word"].to_pylist(), frequent["n"].to_numpy(), tail[0], tail[1], tokens, words, documents)
 
 
-_tools: list = []
-
-
 def _tool(shared):
-    """The lookup tables of a broadcast vocabulary, kept between a worker's tasks."""
-    if not _tools or _tools[0] is not shared.value:
-        _tools[:] = [shared.value, shared.value.lookup()]
-    return shared.value, *_tools[1]
+    """A broadcast vocabulary with its lookup tables, kept between a worker's tasks."""
+    v = shared.value
+    return worker_tool(("lm", id(v)), lambda: (v, *v.lookup()))
 
 
 def _ids(words: list[bytes], v: Vocabulary, place: dict, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

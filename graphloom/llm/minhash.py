@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import CACHE_ENTRIES, discard, settle, text_batches
+from graphloom.llm.common import CACHE_ENTRIES, discard, settle, text_batches, worker_tool
 from graphloom.llm.components import components
 
 #: Coordinates; coordinates to a band (packed as 16 bits each into one long); seeds of the rounds.
@@ -84,7 +84,7 @@ def _sketches(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, f1, f2 (fingerprint of the set), bands (packed coordinates)."""
 
     def run(batches):
-        shingles = Shingler(width)
+        shingles = worker_tool(("shingles", width), lambda: Shingler(width))
         for batch in batches:
             n, f1, f2, bands = [], [], [], []
             for _, texts in text_batches(batch):
@@ -103,7 +103,7 @@ def _full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(id, set): the sorted hashes of the documents whose id is in ``ids``, as bytes."""
 
     def run(batches):
-        shingles = Shingler(width)
+        shingles = worker_tool(("shingles", width), lambda: Shingler(width))
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([shingles(t).tobytes() for _, texts in text_batches(batch) for t in texts], pa.binary())], ["id", "set"])
 

@@ -13,7 +13,6 @@ import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import CACHE_ENTRIES, LETTER, PLAIN, settle, stand_ins, text_batches
+from graphloom.llm.common import CACHE_ENTRIES, LETTER, PLAIN, settle, stand_ins, text_batches, worker_tool
 
 #: The pre-tokenizer's pattern, for lower-cased chunks of plain characters.
 _PART = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^\\s0-9{LETTER}]+")
@@ -78,11 +77,6 @@ class WordIds:
         return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w else b"".join(map(get, s)) for t, w, s in zip(texts, whole, split)]
 
 
-@lru_cache(2)
-def _words(path: str) -> WordIds:
-    return WordIds(path)
-
-
 class Packer:
     """Bounded-space online best fit. ``out`` gets rows (window, full, id, start, length, crc, total, offset, ids)."""
 
@@ -162,7 +156,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = 4096, e
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        words, packer, part, id_arrow = _words(path), Packer(size, open_windows), TaskContext.get().partitionId(), pa.int64()
+        words, packer, part, id_arrow = worker_tool(("packing", path), lambda: WordIds(path)), Packer(size, open_windows), TaskContext.get().partitionId(), pa.int64()
 
         def batch_of(found):
             cols = list(zip(*found)) if found else [[]] * len(names)

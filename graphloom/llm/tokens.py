@@ -8,13 +8,12 @@ chunks and pre-tokens found in the proved set count as one, only the rest is mer
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 
-from graphloom.llm.common import CACHE_ENTRIES, LETTER, PLAIN, byte_table, stand_ins, text_batches
+from graphloom.llm.common import CACHE_ENTRIES, LETTER, PLAIN, byte_table, stand_ins, text_batches, worker_tool
 
 #: Cuts where byte-level pre-tokenization cuts at white space; the pieces are independent of each other.
 _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
@@ -96,11 +95,6 @@ class TokenCounter:
         return [len(self.tokenizer.encode(t, add_special_tokens=False).ids) if w else sum(map(get, chunks)) for t, w, chunks in zip(texts, whole, chunked)]
 
 
-@lru_cache(2)
-def _counter(path: str) -> TokenCounter:
-    return TokenCounter(path)
-
-
 def default_vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -118,7 +112,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str | None = None, limit: int
     id_type = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
-        counter = _counter(path)
+        counter = worker_tool(("tokens", path), lambda: TokenCounter(path))
         for batch in batches:
             sizes, counts = [], []
             for _, texts in text_batches(batch):

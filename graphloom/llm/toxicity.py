@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import CACHE_ENTRIES, crc_mod, held_out
+from graphloom.llm.common import CACHE_ENTRIES, crc_mod, held_out, worker_tool
 
 RESULT = "score double, predicted int"
 
@@ -208,18 +208,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 3000, fold: tu
     return fit_texts([r["text"] for r in rows], [r["toxic"] for r in rows], cut=cut)
 
 
-_scorer: list[Scorer] = []
-
-
 def scorer_column(df: DataFrame, model: ToxicityModel, text: str | Column = "text") -> Column:
     """Column struct<score, predicted> for a text column; the model is two dictionaries of fixed size."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(RESULT)
     def score(texts: pd.Series) -> pd.DataFrame:
-        if not _scorer or _scorer[0].model is not shared.value:
-            _scorer[:] = [Scorer(shared.value)]
-        return pd.DataFrame([_scorer[0].score(t) for t in texts], columns=["score", "predicted"]).astype({"score": "float64", "predicted": "int32"})
+        model = shared.value
+        scorer = worker_tool(("toxicity", id(model)), lambda: Scorer(model))
+        return pd.DataFrame([scorer.score(t) for t in texts], columns=["score", "predicted"]).astype({"score": "float64", "predicted": "int32"})
 
     return score(F.col(text) if isinstance(text, str) else text)
 
