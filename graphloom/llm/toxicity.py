@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -117,50 +118,43 @@ def _features(counts: np.ndarray) -> list[float]:
     return out
 
 
-def _distinct(content: bytes, plain: list[set[bytes]], bad: list[set[bytes]], least: float = 0.01, ratio: float = 10.0) -> bytes:
-    """The stretches at the head of the content's words that many toxic and few ordinary texts hold.
+def _telling(plain: list[frozenset[bytes]], bad: list[frozenset[bytes]], least: float = 15.0, ratio: float = 8.0) -> set[bytes]:
+    """Heads of words (4 to 12 bytes) that toxic documents hold significantly more often: what ordinary text uses too is out."""
+    a: Counter = Counter()
+    for words in bad:
+        a.update({w[:n] for w in words for n in range(4, min(12, len(w)) + 1)})
+    heads = {h for h, n in a.items() if n >= 3}
+    b: Counter = Counter()
+    for words in plain:
+        b.update({h for w in words for n in range(4, min(12, len(w)) + 1) if (h := w[:n]) in heads})
+    out = set()
+    for h in heads:
+        x, y = a[h] / len(bad), (b[h] + 0.5) / len(plain)
+        if x >= ratio * y and a[h] * np.log(x / y) >= least:
+            out.add(h)
+    return out
 
-    Of each word the head with the strongest evidence stays; what ordinary text uses too goes.
-    """
-    heads = {w[:n] for w in content.split() for n in range(4, len(w) + 1)}
 
-    def of(docs):
-        n: Counter = Counter()
-        for words in docs:
-            n.update({h for w in words for k in range(4, len(w) + 1) if (h := w[:k]) in heads})
-        return n
+def fit_texts(texts: list[str], toxic: list[int], cut: float = 0.7, odds: float | None = None, ordinary_size: int = 4096, toxic_size: int = 16_384) -> ToxicityModel:
+    """Train both dictionaries, the table of evidence and the curve on the given rows.
 
-    a, b = of(bad), of(plain)
-    need, worth = max(2, least * len(bad)), {}
-    for h in heads:
-        x, y = a[h] / len(bad), (b[h] + 0.5) / len(plain)
-        if a[h] >= need and x >= ratio * y:
-            worth[h] = x * np.log(x / y)
-    best: dict[bytes, float] = {}
-    for w in content.split():
-        found = [w[:n] for n in range(4, len(w) + 1) if w[:n] in worth]
-        if found:
-            h = max(found, key=lambda h: (worth[h], len(h)))
-            best[h] = worth[h]
-    kept = sorted(best, key=lambda h: (best[h], h))
-    return b" " + b" ".join(kept) + b" " if kept else b""
-
-
-def fit_texts(texts: list[str], toxic: list[int], cut: float = 0.7, ordinary_size: int = 4096, toxic_size: int = 16_384) -> ToxicityModel:
-    """Train both dictionaries, the table of evidence and the curve on the given rows."""
+    ``odds`` of toxic to ordinary rows among all labelled ones, if the given rows are drawn otherwise.
+    """
     y = np.array(toxic, dtype=float)
     if not len(y) or y.min() == y.max():
         return ToxicityModel(b"", b"", np.zeros((MOST + 1, MOST + 1, LEFT + 1), int), (0.0,) * (2 * len(LEVELS)), -3.0, cut)
-    found = [windows(t) for t in texts]
-    lines = [[b" ".join(f[i : i + 8]) for i in range(0, len(f), 8)] for f in found]
-    plain = [w for ws, k in zip(lines, toxic) if not k for w in ws]
-    bad = [w for ws, k in zip(lines, toxic) if k for w in ws]
-    ordinary = _content(plain[:: max(1, len(plain) // 40_000)], ordinary_size)
-    # Toxic text is mostly ordinary words: the lines that the ordinary dictionary shortens least tell the rest.
-    side = _Side(ordinary)
-    odd = sorted(bad, key=lambda w: (side(w) / (len(w) + 8), w))[: max(64, len(bad) // 2)]
-    sets = [set(f) for f in found]
-    part = _distinct(_content(odd, toxic_size), [s for s, k in zip(sets, toxic) if not k], [s for s, k in zip(sets, toxic) if k])
+    one: dict[bytes, bytes] = {}
+    found = [[one.setdefault(w, w) for w in windows(t)] for t in texts]
+    lines = lambda kind: (b" ".join(f[i : i + 8]) for f, k in zip(found, toxic) if k == kind for i in range(0, len(f), 8))
+    n = sum(len(f) // 8 + 1 for f, k in zip(found, toxic) if not k)
+    ordinary = _content(list(islice(lines(0), 0, None, max(1, n // 20_000))), ordinary_size)
+    # Toxic text is mostly ordinary words: the toxic dictionary is trained on what is left of it without them.
+    sets = [frozenset(f) for f in found]
+    heads = _telling([s for s, k in zip(sets, toxic) if not k], [s for s, k in zip(sets, toxic) if k])
+    tells = {w for s, k in zip(sets, toxic) if k for w in s if any(w[:n] in heads for n in range(4, min(12, len(w)) + 1))}
+    rest = [b" " + b" ".join(w for w in f if w in tells) + b" " for f, k in zip(found, toxic) if k]
+    part = _content([r for r in rest if len(r) > 2], toxic_size)
+    del sets
     scorer = Scorer(ToxicityModel(ordinary, part, np.zeros(0), (), 0.0, cut))
     saved: dict[bytes, tuple[int, int, int]] = {}
     seen = np.full((2, MOST + 1, MOST + 1, LEFT + 1), 0.5)
@@ -175,6 +169,8 @@ def fit_texts(texts: list[str], toxic: list[int], cut: float = 0.7, ordinary_siz
     levels = np.where(seen[1] >= 3, np.digitize(ratio, LEVELS), 0)
     rows = [[1.0, *_features(np.bincount([levels[saved[w]] if len(w) >= 4 else 0 for w in f], minlength=len(LEVELS) + 1))] for f in found]
     w = _logistic(np.array(rows), y)
+    if odds:
+        w[0] += np.log(odds) - np.log(y.sum() / (len(y) - y.sum()))
     return ToxicityModel(ordinary, part, levels, tuple(float(v) for v in w[1:]), float(w[0]), cut)
 
 
@@ -191,21 +187,21 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
     return w / scale
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 3000, fold: tuple[int, int] = (3, 1), cut: float = 0.7) -> ToxicityModel:
-    """Fit on about ``rows_per_class`` labelled rows of each class, outside the held-out fold, whole texts.
+def fit(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = (3000, 1500), fold: tuple[int, int] = (3, 1), cut: float = 0.7) -> ToxicityModel:
+    """Fit on about ``rows`` labelled rows (ordinary, toxic), outside the held-out fold, whole texts.
 
-    The sample is drawn by the id's hash. Null texts, ids and labels are not learned from.
+    The sample is drawn by the id's hash; the score's odds are those of all labelled rows. Null texts, ids and labels are not learned from.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & (crc_mod("doc_id", fold[0]) != fold[1])).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return fit_texts([], [])
     place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) / F.lit(1e6)
-    rate = F.when(F.col("toxic") == 1, F.lit(min(1.0, rows_per_class / sizes[1]))).otherwise(F.lit(min(1.0, rows_per_class / sizes[0])))
+    rate = F.when(F.col("toxic") == 1, F.lit(min(1.0, rows[1] / sizes[1]))).otherwise(F.lit(min(1.0, rows[0] / sizes[0])))
     sample = known.where(place < rate)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return fit_texts([r["text"] for r in rows], [r["toxic"] for r in rows], cut=cut)
+    found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").collect()
+    found.sort(key=lambda r: (r["doc_id"], r["text"]))
+    return fit_texts([r["text"] for r in found], [r["toxic"] for r in found], cut=cut, odds=sizes[1] / sizes[0])
 
 
 def scorer_column(df: DataFrame, model: ToxicityModel, text: str | Column = "text") -> Column:
