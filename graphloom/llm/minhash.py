@@ -99,61 +99,87 @@ def _sketches(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>")
 
 
+#: Bits of the filter that tells, before any shuffle, which documents' sets are asked for: 8 MB at any input.
+FILTER_BITS = 1 << 26
+
+
 def _full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, set): the sorted hashes of the documents whose id is in ``ids``, as bytes."""
+    """(id, set): the sorted hashes of the documents whose id is in ``ids``, as bytes.
+
+    A bit filter of fixed size goes to the tasks, so texts are not shuffled; a join on the ids settles it.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    words = ids.select(place("id").alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits")).toArrow()
+    table = np.zeros(FILTER_BITS >> 6, np.int64)
+    table[words["w"].to_numpy()] = words["bits"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
-        shingles = worker_tool(("shingles", width), lambda: Shingler(width))
+        shingles, bits = worker_tool(("shingles", width), lambda: Shingler(width)), shared.value
         for batch in batches:
+            p = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((bits[p >> 6] >> (p & 63)) & 1 == 1))
             yield pa.record_batch([batch.column(0), pa.array([shingles(t).tobytes() for _, texts in text_batches(batch) for t in texts], pa.binary())], ["id", "set"])
 
-    return docs.select("doc_id", "text").where("doc_id is not null").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(run, "id bigint, set binary").distinct()
+    some = docs.where("doc_id is not null").select("doc_id", "text", place("doc_id").alias("p")).mapInArrow(run, "id bigint, set binary")
+    return settle(some.join(ids, "id", "left_semi").distinct(), "sets")
+
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
-def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union on full sets."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = settle(_full_sets(docs, ids, width), "sets")
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+            keep = [_similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.record_batch(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.select("a", "b").join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    out = settle(joined.mapInArrow(run, "a bigint, b bigint").distinct(), "links")
-    discard(sets)
-    return out
+    return settle(joined.mapInArrow(run, "a bigint, b bigint").distinct(), "links")
 
 
-def _across(buckets: DataFrame, percent: int, block: int = 256, least: float = 0.6) -> DataFrame:
-    """Pairs (a, b) of a bucket, from different components, whose sizes and sketches allow the similarity.
+def _blockwise(members: DataFrame, percent: int, exact: bool, block: int = 512, least: float = 0.62) -> DataFrame:
+    """Compare the members of each bucket (pos, band) across components, in pairs of hashed blocks.
 
-    Members are dealt into blocks by hash; each pair of blocks is one group, so no group is larger
-    than two blocks. A pair at the threshold has under ``least`` of its coordinates in common with
-    a probability below 1e-7.
+    A pair counts in the first bucket that its members share, if sizes and sketches allow the
+    similarity (at the threshold a sketch does not with a probability below 1e-6). Not ``exact``: the
+    members (pos, band, rep) with such a partner. ``exact``: members carry their sets, pairs are
+    verified, and a spanning forest (a, b) of the links returns. Rows never outnumber members of blocks.
     """
-    sized = buckets.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("pos", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "comp", "size", "bands")
+    counted = members.groupBy("pos", "band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    sized = members.join(counted, ["pos", "band"]).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("blocks", "other")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        mine, i, j = group["mine"].to_numpy(), int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        sig = np.stack([np.asarray(b, "<i8").view("<u2") for b in group["bands"]])
-        rep, comp, size = (group[c].to_numpy() for c in ("rep", "comp", "size"))
+        pos, band, i, j = (int(group[c].iloc[0]) for c in ("pos", "band", "i", "j"))
+        mine, rep, comp, size = (group[c].to_numpy() for c in ("mine", "rep", "comp", "size"))
+        bands = np.stack([np.asarray(b, "<i8") for b in group["bands"]])
+        sig = bands.view("<u2")
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        out = []
+        sets = [np.frombuffer(x, np.uint64) for x in group["set"]] if exact else None
+        flagged, out, root = np.zeros(len(group), bool), [], comp.copy()
         for x in left:
             y = right[right > x] if i == j else right
-            y = y[(comp[y] != comp[x]) & (100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x]))]
+            y = y[(root[y] != root[x]) & (100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x]))]
             y = y[(sig[y] == sig[x]).mean(1) >= least] if len(y) else y
-            out += [(min(rep[x], rep[k]), max(rep[x], rep[k])) for k in y]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return dealt.groupBy("pos", "band", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
+            y = y[(bands[y] == bands[x]).argmax(1) == pos] if len(y) else y
+            if not exact:
+                flagged[y] = True
+                flagged[x] |= len(y) > 0
+                continue
+            for k in y:
+                if root[k] != root[x] and _similar(sets[x], sets[k], percent):
+                    out.append((min(rep[x], rep[k]), max(rep[x], rep[k])))
+                    root[root == root[k]] = root[x]
+        if exact:
+            return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        return pd.DataFrame({"pos": np.int32(pos), "band": np.int64(band), "rep": rep[flagged]})
+
+    return dealt.groupBy("pos", "band", "i", "j").applyInPandas(compare, "a bigint, b bigint" if exact else "pos int, band bigint, rep bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -173,18 +199,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     shared = settle(member.groupBy("pos", "band").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     held = settle(member.join(shared, ["pos", "band"]), "members")
     pairs = settle(held.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    links = verify(rows, pairs, width, percent)
+    sets = _full_sets(rows, held.select(F.col("rep").alias("id")).distinct(), width)
+    links = verify(pairs, sets, percent)
     found = components(links)
     # Buckets of three or more that still hold several components: their other pairs.
-    named = held.where("n > 2").join(found.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    named = held.where("n > 2").join(found.toDF("rep", "comp"), "rep", "left").select("pos", "band", "rep", F.coalesce("comp", "rep").alias("comp"))
     mixed = named.groupBy("pos", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("pos", "band")
-    open_members = named.join(mixed, ["pos", "band"]).join(classes.select("rep", "size", "bands"), "rep")
-    more = settle(_across(open_members, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        extra = verify(rows, more, width, percent)
+    open_members = settle(named.join(mixed, ["pos", "band"]).join(classes.select("rep", "size", "bands"), "rep"), "open")
+    paired = settle(_blockwise(open_members, percent, exact=False), "paired")
+    if not paired.isEmpty():
+        full = open_members.join(paired, ["pos", "band", "rep"]).join(sets.toDF("rep", "set"), "rep")
+        extra = settle(_blockwise(full, percent, exact=True), "links")
         if not extra.isEmpty():
             old, found = found, components(links.union(extra))
             discard(old)
+    for t in (held, shared, sets, open_members):
+        discard(t)
     of = every.join(classes.select("f1", "f2", "rep"), ["f1", "f2"], "left").join(found.toDF("rep", "comp"), "rep", "left")
     least = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "rep")).otherwise(F.col("doc_id"))
     return of.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), least)).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
