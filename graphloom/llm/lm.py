@@ -6,9 +6,9 @@ predicted inside them; all other words fall into tail classes by their ending, i
 word has its smoothed share of the class's count over the whole training corpus. The state before
 a token predicts it; it is carried across windows, so a document is scored as a whole.
 
-Counts cover all training documents. Weights are trained by truncated backpropagation in numpy, in
-rounds: in each, every partition trains on its share of another slice of the training documents
-(a fixed rate, so what is learned from grows with the corpus) and the weights are averaged.
+Counts cover all training documents, and so do the weights. They are trained by truncated
+backpropagation in numpy, in rounds: in each, every partition trains on its share of another slice of
+the training documents and the weights are averaged. The rounds together take every document once.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from graphloom.llm.common import crc_mod, held_out, settle, text_batches, worker
 LOG10 = float(np.log(10.0))
 #: Words predicted one by one; words to a class; classes of the other words; hidden and input size.
 HEAD, CLASS, TAIL, HIDDEN = 2048, 48, 64, 16
+#: Rounds of training, each on another slice of the documents.
+ROUNDS = 4
 #: A word is looked up in memory if it makes up 1 / FREQUENT of the training tokens: no more than FREQUENT words do.
 FREQUENT = 1 << 20
 
@@ -119,7 +121,8 @@ def _log_probs(w, h: np.ndarray, ids: np.ndarray, v: Vocabulary, grads: dict | N
         rows = order[a:b]
         lo = int(cls[rows[0]]) * CLASS
         hi = min(lo + CLASS, v.end + 1)
-        x = h[rows] @ w["Wo"][lo:hi].T + w["bo"][lo:hi]
+        held = h[rows]
+        x = held @ w["Wo"][lo:hi].T + w["bo"][lo:hi]
         x -= x.max(1, keepdims=True)
         q = np.exp(x)
         t = q.sum(1)
@@ -128,20 +131,25 @@ def _log_probs(w, h: np.ndarray, ids: np.ndarray, v: Vocabulary, grads: dict | N
         if grads is not None:
             q /= t[:, None]
             q[k, ids[rows] - lo] -= 1
-            grads["Wo"][lo:hi] += q.T @ h[rows]
+            grads["Wo"][lo:hi] += q.T @ held
             grads["bo"][lo:hi] += q.sum(0)
             dh[rows] += q @ w["Wo"][lo:hi]
     return out, dh
 
 
-def train(w: dict, docs: list[np.ndarray], v: Vocabulary, lanes: int = 32, steps: int = 16, rate: float = 0.01) -> dict:
-    """One pass of truncated backpropagation with Adam over the documents, dealt over parallel lanes."""
+def train(w: dict, docs: list[np.ndarray], v: Vocabulary, lanes: int = 32, steps: int = 16, rate: float = 0.01, most: int = 256, updates: int = 128) -> dict:
+    """One pass of truncated backpropagation with Adam over all tokens of the documents, dealt over parallel lanes.
+
+    Long streams get up to ``most`` lanes, as long as ``updates`` steps of Adam are left.
+    """
     if not docs:
         return w
     stream = np.concatenate(docs)
+    lanes = max(lanes, min(most, len(stream) // (steps * updates)))
     lanes = max(1, min(lanes, len(stream) // (2 * steps) or 1))
-    width = len(stream) // lanes
-    ids = stream[: width * lanes].reshape(lanes, width)
+    width = -(-len(stream) // lanes)
+    real = (np.arange(lanes * width) < len(stream)).reshape(lanes, width)
+    ids = np.append(stream, np.full(lanes * width - len(stream), v.end)).astype(np.int32).reshape(lanes, width)
     size = w["U"].shape[0]
     w = {k: x.copy() for k, x in w.items()}
     m, s = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
@@ -163,8 +171,8 @@ def train(w: dict, docs: list[np.ndarray], v: Vocabulary, lanes: int = 32, steps
             saved.append((z, r, nn, gn, h, keep))
             h = (nn + z * (h - nn)) * keep
         grads = {k: np.zeros_like(a) for k, a in w.items()}
-        _, dout = _log_probs(w, before.reshape(-1, size), x.T.reshape(-1), v, grads)
-        dout = dout.reshape(t_all, lanes, size)
+        told, dout = real[:, at : at + steps].T, np.zeros((t_all, lanes, size), np.float32)
+        dout[told] = _log_probs(w, before[told], x.T[told], v, grads)[1]
         dproj, dh = np.zeros_like(proj), np.zeros((lanes, size), np.float32)
         for t in range(t_all - 1, -1, -1):
             z, r, nn, gn, hp, keep = saved[t]
@@ -181,9 +189,11 @@ def train(w: dict, docs: list[np.ndarray], v: Vocabulary, lanes: int = 32, steps
         flat, into = dproj.reshape(-1, 3 * size), e.reshape(-1, size)
         grads["Wx"] += into.T @ flat
         grads["b"] += flat.sum(0)
-        np.add.at(grads["E"], x.reshape(-1), flat @ w["Wx"].T)
+        order = np.argsort(x, axis=None, kind="stable")
+        found, first = np.unique(x.reshape(-1)[order], return_index=True)
+        grads["E"][found] = np.add.reduceat((flat @ w["Wx"].T)[order], first)
         turn += 1
-        scale = 1.0 / x.size
+        scale = 1.0 / told.sum()
         for k, g in grads.items():
             g *= scale
             m[k] = 0.9 * m[k] + 0.1 * g
@@ -310,27 +320,26 @@ def _unpack(data: bytes, like: dict) -> dict:
     return out
 
 
-def fit(rows: DataFrame, v: Vocabulary, rounds: int = 3, slices: int = 32) -> dict:
-    """Weights after ``rounds`` of local training; round r takes the training documents of slice r of ``slices``."""
-    spark, w = rows.sparkSession, first_weights(v)
+def fit(encoded: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict:
+    """Weights after ``rounds`` of local training; round r takes the rows (ids, part) of part r, so each is learned from once."""
+    spark, w = encoded.sparkSession, first_weights(v)
     shared = spark.sparkContext.broadcast(v)
-    groups = max(1, isqrt(max(1, rows.rdd.getNumPartitions())))
+    groups = max(1, isqrt(max(1, encoded.rdd.getNumPartitions())))
     for r in range(rounds):
         start = spark.sparkContext.broadcast(w)
 
         def run(batches, start=start):
-            vocab, place, ids, _, _ = _tool(shared)
-            docs = [_ids(words_of(t), vocab, place, ids)[0] for batch in batches for _, texts in text_batches(batch) for t in texts]
+            docs = [np.frombuffer(x, "<u2") for batch in batches for x in batch.column(0).to_pylist()]
             if docs:
                 n = sum(map(len, docs))
-                yield pa.record_batch([pa.array([TaskContext.get().partitionId() % groups], pa.int32()), pa.array([n], pa.int64()), pa.array([_pack(train(start.value, docs, vocab))], pa.binary())], ["grp", "n", "w"])
+                yield pa.record_batch([pa.array([TaskContext.get().partitionId() % groups], pa.int32()), pa.array([n], pa.int64()), pa.array([_pack(train(start.value, docs, shared.value))], pa.binary())], ["grp", "n", "w"])
 
         def mean(group: pd.DataFrame) -> pd.DataFrame:
             n = group["n"].sum()
             total = sum(np.frombuffer(x, "<f4").astype(np.float64) * k for x, k in zip(group["w"], group["n"]))
             return pd.DataFrame({"n": [n], "w": [(total / n).astype("<f4").tobytes()]})
 
-        part = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(slices)) == r).select("text")
+        part = encoded.where(F.col("part") == r).select("ids")
         found = part.mapInArrow(run, "grp int, n bigint, w binary").groupBy("grp").applyInPandas(mean, "n bigint, w binary").collect()
         if found:
             n = sum(x["n"] for x in found)
@@ -338,59 +347,79 @@ def fit(rows: DataFrame, v: Vocabulary, rounds: int = 3, slices: int = 32) -> di
     return w
 
 
-def score(docs: DataFrame, fold: tuple[int, int] = (10, 0), rounds: int = 3, slices: int = 32, pool: int = 1_500_000) -> DataFrame:
+def encode(rows: DataFrame, v: Vocabulary) -> DataFrame:
+    """rid, doc_id, part, n_tokens, n_known, base, share, ids (two bytes each), rare words: a row for each of rows (doc_id, part, text)."""
+    shared = rows.sparkSession.sparkContext.broadcast(v)
+    end_base, end_known = float(v.base(v.documents)), int(v.documents > 0)
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("cls", pa.int32()), ("n", pa.int64())]))
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), rare_type]
+
+    def run(batches):
+        vocab, place, ids, base, share = _tool(shared)
+        rid = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for at, texts in text_batches(batch):
+                held = []
+                for text in texts:
+                    words = words_of(text)
+                    x, k = _ids(words, vocab, place, ids)
+                    known = k[k >= 0]
+                    rare = Counter([words[i] for i in np.flatnonzero(k < 0)])
+                    held.append((rid, len(x), len(known) + end_known, float(base[known].sum()) + end_base, float(share[known].sum()), x.astype("<u2").tobytes(), [{"word": w, "cls": tail_class(w), "n": n} for w, n in rare.items()]))
+                    rid += 1
+                rids, *cols = [pa.array(c, k) for c, k in zip(zip(*held), kinds)]
+                yield pa.record_batch([rids, batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), *cols], ["rid", "doc_id", "part", "n_tokens", "n_known", "base", "share", "ids", "rare"])
+
+    return rows.mapInArrow(run, f"rid bigint, doc_id {id_type}, part int, n_tokens bigint, n_known bigint, base double, share double, ids binary, rare array<struct<word: binary, cls: int, n: bigint>>")
+
+
+def score(docs: DataFrame, fold: tuple[int, int] = (10, 0), rounds: int = ROUNDS, pool: int = 1_500_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row, whole texts.
 
-    Learns from rows whose id is outside the fold. Null texts are empty: their one token is the end.
+    Learns from all rows whose id is outside the fold. Null texts are empty: their one token is the end.
     Null ids are scored, neither held out nor learned from; repeated rows give a row each and count
     each; an empty training set gives uniform shares. Other columns are ignored. ``pool`` is the
     number of tokens scored together.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    learn = rows.where(crc_mod("doc_id", fold[0]) != fold[1])
+    learned = crc_mod("doc_id", fold[0]) != fold[1]
+    rows = docs.select("doc_id", F.when(learned, F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(rounds))).cast("int").alias("part"), F.coalesce("text", F.lit("")).alias("text"))
+    learn = rows.where(learned)
     counts = settle(_counts(learn), "counts")
     v = vocabulary(counts, learn.count())
-    weights = fit(learn, v, rounds, slices)
+    encoded = settle(encode(rows, v), "encoded")
+    weights = fit(encoded, v, rounds)
     spark = docs.sparkSession
     shared, model = spark.sparkContext.broadcast(v), spark.sparkContext.broadcast(weights)
-    end_base, end_known = float(v.base(v.documents)), int(v.documents > 0)
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("cls", pa.int32()), ("n", pa.int64())]))
-    names = ["rid", "doc_id", "n_tokens", "n_known", "base", "lm", "rare"]
 
     def run(batches):
-        vocab, place, ids, base, share = _tool(shared)
-        scorer, rid = Model(model.value, vocab), TaskContext.get().partitionId() << 33
+        scorer = Model(model.value, shared.value)
         own, held, size = [], [], 0
 
         def flush():
-            logs = scorer.score(own) / LOG10
-            cols = list(zip(*held))
-            lm = logs + np.array(cols[5])
-            return pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], doc_type), *(pa.array(c, pa.int64()) for c in cols[2:4]), pa.array(cols[4], pa.float64()), pa.array(lm, pa.float64()), pa.array(cols[6], rare_type)], names)
+            table = pa.Table.from_batches(held).combine_chunks()
+            lm = scorer.score(own) / LOG10 + table["share"].to_numpy()
+            return table.drop_columns(["share"]).append_column("lm", pa.array(lm, pa.float64())).to_batches()
 
-        doc_type = pa.int64()
         for batch in batches:
-            doc_type = batch.column(0).type
-            for at, texts in text_batches(batch):
-                for doc, text in zip(batch.column(0).slice(at, len(texts)).to_pylist(), texts):
-                    words = words_of(text)
-                    x, k = _ids(words, vocab, place, ids)
-                    known = k[k >= 0]
-                    rare = Counter([words[i] for i in np.flatnonzero(k < 0)])
-                    own.append(x)
-                    held.append((rid, doc, len(x), len(known) + end_known, float(base[known].sum()) + end_base, float(share[known].sum()), [{"word": w, "cls": tail_class(w), "n": n} for w, n in rare.items()]))
-                    rid += 1
-                    size += len(x)
-                    if size >= pool:
-                        yield flush()
-                        own, held, size = [], [], 0
+            texts = batch.column(batch.schema.get_field_index("ids"))
+            rest, first = batch.drop_columns(["ids"]), 0
+            for at, x in enumerate(texts.to_pylist()):
+                own.append(np.frombuffer(x, "<u2").astype(np.int32))
+                size += len(own[-1])
+                if size >= pool:
+                    held.append(rest.slice(first, at + 1 - first))
+                    yield from flush()
+                    own, held, size, first = [], [], 0, at + 1
+            if first < len(batch):
+                held.append(rest.slice(first))
         if own:
-            yield flush()
+            yield from flush()
 
-    scored = settle(rows.mapInArrow(run, f"rid bigint, doc_id {id_type}, n_tokens bigint, n_known bigint, base double, lm double, rare array<struct<word: binary, cls: int, n: bigint>>"), "scored")
+    scored = encoded.select("rid", "doc_id", "n_tokens", "n_known", "base", "share", "ids").mapInArrow(run, f"rid bigint, doc_id {id_type}, n_tokens bigint, n_known bigint, base double, lm double")
     # Words too rare for memory meet their counts in a join; the sums go back to the documents.
-    rare = scored.select("rid", F.inline("rare"))
+    rare = encoded.select("rid", F.inline("rare"))
     c = F.coalesce(F.col("c"), F.lit(0))
     floor = F.element_at(F.array(*[F.lit(float(np.log10(a + 0.1 * (b + 1)))) for a, b in zip(v.tail_tokens, v.tail_words)]), F.col("cls") + 1)
     joined = rare.join(counts.select("word", F.col("n").alias("c")), "word", "left")
@@ -400,7 +429,7 @@ def score(docs: DataFrame, fold: tuple[int, int] = (10, 0), rounds: int = 3, sli
         F.sum(F.col("n") * (F.log10(c + 0.1) - floor)).alias("rl"),
     )
     zero = lambda x: F.coalesce(F.col(x), F.lit(0))
-    return scored.drop("rare").join(sums, "rid", "left").select(
+    return scored.join(sums, "rid", "left").select(
         "doc_id", held_out("doc_id", *fold).alias("held_out"), "n_tokens", (F.col("n_known") + zero("k")).cast("bigint").alias("n_known"),
         F.lit(int(v.tokens)).cast("bigint").alias("train_tokens"), (F.col("base") + zero("rb")).alias("base_score"), (F.col("lm") + zero("rl")).alias("score"),
     )

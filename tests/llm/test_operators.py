@@ -368,6 +368,24 @@ def test_scores(spark, rows):
     assert empty.count() == 0
 
 
+def test_every_training_document_is_learned_from(spark):
+    docs = [(i, " ".join(["kolo mira tesa"] * 300)) for i in range(1, 9)]
+    rows = [(i, t) for i, t in docs if zlib.crc32(str(i).encode()) % 10]
+    late = spark.createDataFrame(rows, "doc_id bigint, text string").where("pmod(xxhash64(doc_id, 3), 32) > 2")
+    assert late.count() > 0
+    out = lm.score(frame(spark, [(r["doc_id"], r["text"]) for r in late.collect()])).collect()
+    assert all(r["score"] > 0.8 * r["base_score"] for r in out)  # the words' order is learned
+    encoded = lm.encode(late.selectExpr("doc_id", "cast(pmod(doc_id, 4) as int) part", "text"), lm.vocabulary(lm._counts(late), late.count()))
+    assert sorted(r["doc_id"] for r in encoded.collect()) == sorted(r["doc_id"] for r in late.collect())
+
+
+def test_training_takes_the_end_of_the_stream():
+    v = lm.Vocabulary([b"a", b"b", b"c"], np.array([5, 4, 3]), [b"a", b"b", b"c"], np.array([5, 4, 3]), np.full(lm.TAIL, 2), np.full(lm.TAIL, 1), 20, 10, 4)
+    w = lm.first_weights(v, hidden=4)
+    after = lm.train(w, [np.array([0, 1] * 600 + [2], np.int32)], v)
+    assert after["bo"][2] != pytest.approx(lm.train(w, [np.array([0, 1] * 600 + [1], np.int32)], v)["bo"][2])
+
+
 # pipeline -----------------------------------------------------------------------------------------
 def test_pipeline_stages(spark, tmp_path, rows):
     rng = random.Random(20)
