@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import accumulate
 from math import ceil
 
 import pyarrow as pa
@@ -120,8 +121,9 @@ def _places(words: list[bytes], phrases: list[list[bytes]]) -> list[list[int]]:
 def scan(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks.
 
-    ``blocks`` lists every block that meets a template (block, template, containment); a block's
-    label is that of the template it meets best, the longest among equals. ``score`` is
+    ``blocks`` lists every block that meets a template (block, template, containment). All templates met give their labels,
+    except where the words found are among those of another template met there that has more of
+    them or, having the same, is met better. ``score`` is
     the largest containment, 1 where a phrase stands, else 0. Null and empty texts have no words,
     no labels (empty strings) and score 0; null ids and repeated rows give rows like others; other
     columns are ignored. Two passes (frequencies, join), no shuffle of texts.
@@ -143,10 +145,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] | None =
         every = sorted(p for found in places for p in found)
         base = {n for n, found in zip(names, places) if found}
         hits = [(k, t, c) for k, b in enumerate(cut) for t, c in index.find(b)]
-        best: dict[int, tuple] = {}
-        for k, t, c in hits:
-            best[k] = max(best.get(k, (0.0, 0, 0)), (c, len(index.items[t][1]), t))
-        labels = base | {templates[t][0] for _, _, t in best.values()}
+        starts = list(accumulate(map(len, cut), initial=0))
+        met = [(starts[k], starts[k + 1] - 1, t, c, index.items[t][1].intersection(cut[k])) for k, t, c in hits]
+        labels = base | {templates[t][0] for a, z, t, c, found in met if not any(b <= z and a <= y and (found < more or found == more and c < d) for b, y, _, d, more in met)}
         score = 1.0 if base else max((c for _, _, c in hits), default=0.0)
         return len(words), len(every), every[0] if every else None, every[-1] if every else None, ",".join(sorted(base)), ",".join(sorted(labels)), score, [{"block": k, "template": t, "containment": c} for k, t, c in hits]
 

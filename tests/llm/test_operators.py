@@ -173,6 +173,16 @@ def test_license_scan(spark):
     assert (out[7]["base_labels"], out[7]["labels"], out[7]["score"]) == ("", "mit", 1.0)
 
 
+def test_all_licenses_of_a_block_are_labelled(spark):
+    texts = [
+        "this is free and unencumbered software released into the public domain and this source code form is subject to the terms of the mozilla public license v 2 0",
+        "Licensed under CC BY-SA 4.0",
+        "licensed under the gnu affero general public license",
+    ]
+    out = {r["doc_id"]: r["labels"] for r in licenses.scan(frame(spark, list(enumerate(texts))), phrases={}).collect()}
+    assert out == {0: "mpl,public-domain", 1: "cc-by-sa", 2: "agpl"}
+
+
 def test_license_join_is_exact():
     rng = random.Random(6)
     vocabulary = [f"w{k}" for k in range(30)]
