@@ -5,12 +5,15 @@ share of its distinct words (containment). Words are put in order of their frequ
 blocks of the corpus, rarest first: a template whose needed overlap is o can only be met by a block
 that holds one of its first |T| - o + 1 words (prefix filter), that has o words at least (length
 filter), and whose words from the match on leave room for o (positional filter). The rest is
-verified. Fixed phrases are found beside it, as places of consecutive words.
+verified. Line breaks and sentence ends cut notices, so templates are also looked for in stretches of
+words across blocks, no longer than the template over the threshold. Fixed phrases are found beside
+it, as places of consecutive words.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from itertools import accumulate
 from math import ceil
@@ -56,11 +59,12 @@ class TemplateIndex:
 
     def __init__(self, templates, frequency: dict[bytes, int], threshold: float):
         self.rank = {w: k for k, w in enumerate(sorted(set().union(*(self.words(t) for _, t in templates)), key=lambda w: (frequency.get(w, 0), w)))}
-        self.items, self.prefix = [], {}
+        self.items, self.prefix, self.span = [], {}, []
         for k, (label, text) in enumerate(templates):
             words = sorted(self.words(text), key=self.rank.__getitem__)
             need = max(1, ceil(threshold * len(words) - 1e-9))
             self.items.append((label, frozenset(words), need))
+            self.span.append(ceil(len(text.encode().translate(_TABLE).split()) / threshold - 1e-9))
             for at, w in enumerate(words[: len(words) - need + 1]):
                 self.prefix.setdefault(w, []).append((k, at))
         self.first = frozenset(self.prefix)
@@ -87,6 +91,33 @@ class TemplateIndex:
                     out.append((k, both / len(whole)))
         return out
 
+    def stretches(self, words: list[bytes]) -> list[tuple[int, int, int, float]]:
+        """(template, first word, last word, containment) of the best among overlapping stretches that meet a template."""
+        held, out = set(words), []
+        if self.first.isdisjoint(held):
+            return out
+        for k, (_, whole, need) in enumerate(self.items):
+            if len(whole & held) < need:
+                continue
+            at, a, count, last = [i for i, w in enumerate(words) if w in whole], 0, Counter(), None
+            for i in at:
+                count[words[i]] += 1
+                while i - at[a] >= self.span[k] or count[words[at[a]]] > 1:
+                    w = words[at[a]]
+                    count[w] -= 1
+                    if not count[w]:
+                        del count[w]
+                    a += 1
+                if len(count) < need:
+                    continue
+                found = (k, at[a], i, len(count) / len(whole))
+                if last is None or found[1] > last[2]:
+                    out.append(found)
+                elif found[3] > last[3]:
+                    out[-1] = found
+                last = out[-1]
+        return out
+
 
 def _frequencies(rows: DataFrame, templates) -> dict[bytes, int]:
     """In how many of the corpus's blocks each template word stands; no more rows than template words."""
@@ -121,7 +152,8 @@ def _places(words: list[bytes], phrases: list[list[bytes]]) -> list[list[int]]:
 def scan(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks.
 
-    ``blocks`` lists every block that meets a template (block, template, containment). All templates met give their labels,
+    ``blocks`` lists every block that meets a template (block, template, containment), and by their
+    first block the stretches across blocks that meet one better. All templates met give their labels,
     except where the words found are among those of another template met there that has more of
     them or, having the same, is met better. ``score`` is
     the largest containment, 1 where a phrase stands, else 0. Null and empty texts have no words,
@@ -147,6 +179,12 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] | None =
         hits = [(k, t, c) for k, b in enumerate(cut) for t, c in index.find(b)]
         starts = list(accumulate(map(len, cut), initial=0))
         met = [(starts[k], starts[k + 1] - 1, t, c, index.items[t][1].intersection(cut[k])) for k, t, c in hits]
+        for t, a, z, c in index.stretches(words):
+            k, end = bisect_right(starts, a) - 1, bisect_right(starts, z) - 1
+            if k < end and all(x != t or y < a or b > z or d < c for b, y, x, d, _ in met):
+                hits.append((k, t, c))
+                met.append((a, z, t, c, index.items[t][1].intersection(words[a : z + 1])))
+        hits.sort()
         labels = base | {templates[t][0] for a, z, t, c, found in met if not any(b <= z and a <= y and (found < more or found == more and c < d) for b, y, _, d, more in met)}
         score = 1.0 if base else max((c for _, _, c in hits), default=0.0)
         return len(words), len(every), every[0] if every else None, every[-1] if every else None, ",".join(sorted(base)), ",".join(sorted(labels)), score, [{"block": k, "template": t, "containment": c} for k, t, c in hits]

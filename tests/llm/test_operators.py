@@ -173,6 +173,21 @@ def test_license_scan(spark):
     assert (out[7]["base_labels"], out[7]["labels"], out[7]["score"]) == ("", "mit", 1.0)
 
 
+def test_wrapped_license_notices(spark):
+    texts = [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files",
+        "All rights reserved. No part of this publication may be reproduced without permission.",
+        "x\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at",
+        " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that",
+        "This Source Code Form is subject to the terms of the Mozilla Public\n License, v. 2.0. If a copy",
+        "you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published",
+        "Released under\n" + "the word\n" * 40 + "MIT license here",
+    ]
+    out = {r["doc_id"]: r for r in licenses.scan(frame(spark, list(enumerate(texts)))).collect()}
+    assert [out[k]["labels"] for k in range(7)] == ["mit", "proprietary", "apache", "bsd", "mpl", "lgpl", "mit"]
+    assert [b["block"] for b in out[2]["blocks"]] == [1] and out[1]["score"] == 1.0 and not out[6]["blocks"]
+
+
 def test_all_licenses_of_a_block_are_labelled(spark):
     texts = [
         "this is free and unencumbered software released into the public domain and this source code form is subject to the terms of the mozilla public license v 2 0",
