@@ -60,7 +60,7 @@ def _blocks(fp: str, radius: int) -> Column:
 def find_leaks(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80, radius: int = RADIUS) -> DataFrame:
     """(doc_id, item_id, similarity, first_word): each item found in a document, at its best window.
 
-    A window of an item's size matches when 100 * sum of minima >= percent * sum of maxima over
+    A window of an item's size, or a whole document of fewer shingles, matches when 100 * sum of minima >= percent * sum of maxima over
     shingle counts. ``first_word`` (words from 0) is the first of the best windows. Items shorter
     than ``width`` words are one shingle of all their words; items and documents without words match
     nothing, nor do rows with a null id. Repeated rows give one row; other columns are ignored.
@@ -78,19 +78,25 @@ def find_leaks(docs: DataFrame, items: DataFrame, width: int = 5, percent: int =
         known = F.broadcast(known)
 
     worded = docs.where("doc_id is not null").select("doc_id", words_of("text").alias("w"))
+
+    def short(size, n: Column) -> Column:
+        """A document of fewer shingles than the item is one window; below the percentage it cannot match."""
+        size = F.col(size) if isinstance(size, str) else size
+        return (size < n) & (F.lit(100) * size >= F.lit(percent) * n)
+
     # The shingles of the documents that items hold too, and the windows around them.
     places = reduce(DataFrame.union, [worded.select("doc_id", F.lit(k).alias("k"), (F.size("w") - k + 1).alias("last"), F.posexplode(_hashes("w", k)).alias("pos", "h")) for k in widths])
-    windows = places.join(known, ["k", "h"]).select("doc_id", "k", "n", F.explode(F.when(F.col("last") >= F.col("n"), F.sequence(F.greatest(F.lit(0), F.col("pos") - F.col("n") + 1), F.least("pos", F.col("last") - F.col("n"))))).alias("s"))
+    windows = places.join(known, ["k", "h"]).select("doc_id", "k", "n", F.explode(F.when(F.col("last") >= F.col("n"), F.sequence(F.greatest(F.lit(0), F.col("pos") - F.col("n") + 1), F.least("pos", F.col("last") - F.col("n")))).when(short("last", F.col("n")), F.array(F.lit(0)))).alias("s"))
     windows = settle(windows.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("k", "n", "s")).alias("at")), "windows")
     held = docs.select("doc_id", "text").join(windows.select("doc_id"), "doc_id", "left_semi").select("doc_id", words_of("text").alias("w"))
     sequences = settle(reduce(DataFrame.union, [held.select("doc_id", F.lit(k).alias("k"), _hashes("w", k).alias("hs")) for k in widths]).distinct(), "sequences")
 
     def cut(wanted: DataFrame, *more: str) -> DataFrame:
-        """(doc_id, k, n, s, more, h): the hashes of the wanted windows, a row each; ``copy`` tells repeated ids apart."""
+        """(doc_id, k, n, s, m, more, h): the hashes of the wanted windows of m shingles, a row each; ``copy`` tells repeated ids apart."""
         joined = wanted.join(sequences, "doc_id")
-        part = F.transform(F.filter("at", lambda a: (a["k"] == F.col("k")) & (a["s"] + a["n"] <= F.size("hs"))), lambda a: F.struct(a["n"].alias("n"), a["s"].alias("s"), *(a[m].alias(m) for m in more), F.slice("hs", a["s"] + 1, a["n"]).alias("part")))
+        part = F.transform(F.filter("at", lambda a: (a["k"] == F.col("k")) & ((a["s"] + a["n"] <= F.size("hs")) | (a["s"] == 0) & short(F.size("hs"), a["n"]))), lambda a: F.struct(a["n"].alias("n"), a["s"].alias("s"), F.least(a["n"].cast("int"), F.size("hs")).alias("m"), *(a[m].alias(m) for m in more), F.slice("hs", a["s"] + 1, a["n"]).alias("part")))
         rows = joined.select("doc_id", "k", F.xxhash64("hs").alias("copy"), F.inline(part))
-        return rows.select("doc_id", "copy", "k", "n", "s", *more, F.explode("part").alias("h"))
+        return rows.select("doc_id", "copy", "k", "n", "s", "m", *more, F.explode("part").alias("h"))
 
     own = settle(_fingerprints(cut(windows), ["doc_id", "copy", "k", "n", "s"]), "fingerprints")
     theirs = _fingerprints(shingle, ["item_id", "k", "n"]).toDF("item_id", "k", "n", "ifp")
@@ -98,13 +104,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, width: int = 5, percent: int =
     right = theirs.withColumn("b", F.explode(_blocks("ifp", radius))).select("k", "n", "item_id", "ifp", "b.*")
     near = left.join(right, ["k", "n", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius).select("k", "n", "fp", "item_id").distinct()
     candidates = own.join(near, ["k", "n", "fp"]).groupBy("doc_id").agg(F.collect_set(F.struct("k", "n", "s", "item_id")).alias("at"))
-    # Exact similarity: both bags have n shingles, so the maxima sum to 2n less the minima.
-    mine = cut(candidates, "item_id").groupBy("doc_id", "copy", "k", "n", "s", "item_id", "h").agg(F.count(F.lit(1)).alias("x"))
+    # Exact similarity: the bags have m and n shingles, so the maxima sum to m + n less the minima.
+    mine = cut(candidates, "item_id").groupBy("doc_id", "copy", "k", "n", "s", "m", "item_id", "h").agg(F.count(F.lit(1)).alias("x"))
     bags = shingle.groupBy("item_id", "k", "h").agg(F.count(F.lit(1)).alias("y"))
-    both = mine.join(bags, ["item_id", "k", "h"]).groupBy("doc_id", "copy", "k", "n", "s", "item_id").agg(F.sum(F.least("x", "y")).alias("both"))
-    passed = both.where(F.lit(100) * F.col("both") >= F.lit(percent) * (2 * F.col("n") - F.col("both")))
-    best = passed.groupBy("doc_id", "item_id").agg(F.max(F.struct("both", (-F.col("s")).alias("s"), "n")).alias("m"))
-    found = settle(best.select("doc_id", "item_id", (F.col("m.both") / (2 * F.col("m.n") - F.col("m.both"))).alias("similarity"), (-F.col("m.s")).cast("bigint").alias("first_word")), "leaks")
+    both = mine.join(bags, ["item_id", "k", "h"]).groupBy("doc_id", "copy", "k", "n", "s", "m", "item_id").agg(F.sum(F.least("x", "y")).alias("both"))
+    passed = both.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("m") + F.col("n") - F.col("both")))
+    best = passed.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("both") / (F.col("m") + F.col("n") - F.col("both"))).alias("similarity"), (-F.col("s")).alias("s"))).alias("m"))
+    found = settle(best.select("doc_id", "item_id", "m.similarity", (-F.col("m.s")).cast("bigint").alias("first_word")), "leaks")
     for t in (item, shingle, windows, sequences, own):
         discard(t)
     return found

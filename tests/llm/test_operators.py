@@ -160,6 +160,14 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(frame(spark, docs), spark.createDataFrame([], "item_id bigint, text string")).count() == 0
 
 
+def test_documents_shorter_than_an_item(spark):
+    item = prose(random.Random(13), 60).split()
+    docs = [(1, " ".join(item[:54])), (2, " ".join(item[1:])), (3, " ".join(item[:40])), (4, " ".join(item[:49])), (5, " ".join(item[:48])), (6, " ".join(item)), (7, prose(random.Random(14), 55))]
+    got = decontaminate.find_leaks(frame(spark, docs), spark.createDataFrame([(0, " ".join(item))], "item_id bigint, text string"))
+    want = {1: 50 / 56, 2: 55 / 56, 4: 45 / 56, 6: 1.0}  # 48 words hold 44 of 56 shingles, less than 80 %
+    assert {r["doc_id"]: (r["similarity"], r["first_word"]) for r in got.collect()} == {k: (pytest.approx(x), 0) for k, x in want.items()}
+
+
 # licenses -----------------------------------------------------------------------------------------
 def test_license_scan(spark):
     texts = ["Released under the MIT License.\nmore words", "gnu GENERAL public license, then cc by cc by", "Licensed under CC BY-NC 4.0. Fine.", None, "", "mit licensed", "word " * 5000 + "apache license", "x under released the LICENSE mit y"]
