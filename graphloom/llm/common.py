@@ -63,6 +63,66 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class BitFilter:
+    """Tells, without a shuffle, which rows may hold one of the given keys: a bit array in a broadcast row.
+
+    It takes 16 bits a key, 16 MB at most however many keys there are; a fuller one lets more
+    rows through, which an exact join afterwards sorts out. Nulls are no keys.
+    """
+
+    MOST = 27
+
+    def __init__(self, keys: DataFrame, *columns: str):
+        self.columns = columns
+        keys = keys.select(*columns).dropna()
+        self.bits = 1 << min(self.MOST, max(12, (16 * keys.count()).bit_length()))
+        place = self._place()
+        words = keys.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int"))).alias("b"))
+        every = keys.sparkSession.range(self.bits >> 6, numPartitions=1).join(words, F.col("id") == F.col("w"), "left").select("id", F.coalesce("b", F.lit(0).cast("bigint")).alias("b"))
+        self.row = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "b"))), lambda x: x["b"]).alias("__bits"))
+
+    def _place(self) -> Column:
+        return F.pmod(F.xxhash64(*self.columns), F.lit(self.bits))
+
+    def _join(self, rows: DataFrame, how: str) -> DataFrame:
+        place = self._place()
+        held = F.getbit(F.col("__bits")[F.shiftright(place, 6).cast("int")], place.bitwiseAND(F.lit(63)).cast("int")) == 1
+        for c in self.columns:
+            held = F.col(c).isNotNull() & held
+        return rows.join(F.broadcast(self.row), held, how)
+
+    def among(self, rows: DataFrame) -> DataFrame:
+        """The rows that may hold a key, and some that do not."""
+        return self._join(rows, "left_semi")
+
+    def clear(self, rows: DataFrame) -> DataFrame:
+        """The rows that hold none for certain, those with nulls among them."""
+        return self._join(rows, "left_anti")
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows whose key is not among the ids (one column ``key``); only rows that the bit filter doubts are shuffled."""
+    known = BitFilter(ids, key)
+    left = known.among(docs).join(ids.select(key), key, "left_anti").select(*docs.columns)
+    return known.clear(docs).select(*docs.columns).union(left)
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", least: int = 1024) -> DataFrame:
+    """An equi-join whose left side may hold a key any number of times (right: few times a key).
+
+    Keys with more than 1 / 512 of the left rows (so fewer than 512 keys, which are broadcast) are
+    dealt over as many shares, and their right rows are repeated for each share.
+    """
+    share = max(least, left.count() // 512)
+    hot = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > share).select(*keys, F.ceil(F.col("__n") / share).cast("int").alias("__shares"))
+    hot = settle(hot, "hot")
+    shares = F.coalesce("__shares", F.lit(1))
+    rest = [c for c in left.columns if c not in keys]
+    own = left.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*rest) if rest else F.monotonically_increasing_id(), shares).cast("int")).drop("__shares")
+    other = right.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), shares - 1))).drop("__shares")
+    return own.join(other, [*keys, "__salt"], how).drop("__salt")
+
+
 def crc_mod(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id written as text, modulo ``n``; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n
