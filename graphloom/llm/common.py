@@ -6,6 +6,7 @@ import gc
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,9 +53,29 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_path = path
+    for tables in _scratch:
+        tables.append(out)
     return out
 
 
+_scratch: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch(keep: list[DataFrame]):
+    """Deletes the tables settled inside, but for those put into ``keep``, when the block is left."""
+    tables: list[DataFrame] = []
+    _scratch.append(tables)
+    try:
+        yield
+    finally:
+        _scratch.pop()
+        paths = {getattr(k, "_settled_path", None) for k in keep}
+        for t in tables:
+            if t._settled_path not in paths:
+                discard(t)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a settled table once nothing reads it any more."""
     path, spark = getattr(df, "_settled_path", None), df.sparkSession
@@ -66,16 +87,16 @@ def discard(df: DataFrame) -> None:
 class BitFilter:
     """Tells, without a shuffle, which rows may hold one of the given keys: a bit array in a broadcast row.
 
-    It takes 16 bits a key, 16 MB at most however many keys there are; a fuller one lets more
+    It takes ``per_key`` bits a key, 16 MB at most however many keys there are; a fuller one lets more
     rows through, which an exact join afterwards sorts out. Nulls are no keys.
     """
 
     MOST = 27
 
-    def __init__(self, keys: DataFrame, *columns: str):
+    def __init__(self, keys: DataFrame, *columns: str, per_key: int = 16):
         self.columns = columns
         keys = keys.select(*columns).dropna()
-        self.bits = 1 << min(self.MOST, max(12, (16 * keys.count()).bit_length()))
+        self.bits = 1 << min(self.MOST, max(12, (per_key * keys.count()).bit_length()))
         place = self._place()
         words = keys.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int"))).alias("b"))
         every = keys.sparkSession.range(self.bits >> 6, numPartitions=1).join(words, F.col("id") == F.col("w"), "left").select("id", F.coalesce("b", F.lit(0).cast("bigint")).alias("b"))
@@ -107,11 +128,12 @@ def without_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFra
     return known.clear(docs).select(*docs.columns).union(left)
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", least: int = 1024) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", least: int = 1024, hint: str | None = None) -> DataFrame:
     """An equi-join whose left side may hold a key any number of times (right: few times a key).
 
     Keys with more than 1 / 512 of the left rows (so fewer than 512 keys, which are broadcast) are
-    dealt over as many shares, and their right rows are repeated for each share.
+    dealt over as many shares, and their right rows are repeated for each share. ``hint`` fixes the kind of join, where
+    a right side looks smaller to the planner than it is.
     """
     share = max(least, left.count() // 512)
     hot = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > share).select(*keys, F.ceil(F.col("__n") / share).cast("int").alias("__shares"))
@@ -120,7 +142,7 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     rest = [c for c in left.columns if c not in keys]
     own = left.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*rest) if rest else F.monotonically_increasing_id(), shares).cast("int")).drop("__shares")
     other = right.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), shares - 1))).drop("__shares")
-    return own.join(other, [*keys, "__salt"], how).drop("__salt")
+    return own.join(other.hint(hint) if hint else other, [*keys, "__salt"], how).drop("__salt")
 
 
 def crc_mod(doc_id: str | Column, n: int) -> Column:

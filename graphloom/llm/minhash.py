@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import CACHE_ENTRIES, discard, settle, text_batches, worker_tool
+from graphloom.llm.common import CACHE_ENTRIES, BitFilter, discard, salted_join, settle, text_batches, worker_tool
 from graphloom.llm.components import components
 
 #: Coordinates; coordinates to a band (packed as 16 bits each into one long); seeds of the rounds.
@@ -99,30 +99,16 @@ def _sketches(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>")
 
 
-#: Bits of the filter that tells, before any shuffle, which documents' sets are asked for: 8 MB at any input.
-FILTER_BITS = 1 << 26
-
-
 def _full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, set): the sorted hashes of the documents whose id is in ``ids``, as bytes.
-
-    A bit filter of fixed size goes to the tasks, so texts are not shuffled; a join on the ids settles it.
-    """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    words = ids.select(place("id").alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits")).toArrow()
-    table = np.zeros(FILTER_BITS >> 6, np.int64)
-    table[words["w"].to_numpy()] = words["bits"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    """(id, set): the sorted hashes of the documents whose id is in ``ids``, as bytes. Texts are not shuffled."""
 
     def run(batches):
-        shingles, bits = worker_tool(("shingles", width), lambda: Shingler(width)), shared.value
+        shingles = worker_tool(("shingles", width), lambda: Shingler(width))
         for batch in batches:
-            p = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array((bits[p >> 6] >> (p & 63)) & 1 == 1))
             yield pa.record_batch([batch.column(0), pa.array([shingles(t).tobytes() for _, texts in text_batches(batch) for t in texts], pa.binary())], ["id", "set"])
 
-    some = docs.where("doc_id is not null").select("doc_id", "text", place("doc_id").alias("p")).mapInArrow(run, "id bigint, set binary")
-    return settle(some.join(ids, "id", "left_semi").distinct(), "sets")
+    some = BitFilter(ids, "id").among(docs.select(F.col("doc_id").alias("id"), "text")).mapInArrow(run, "id bigint, set binary")
+    return settle(some.join(ids, "id", "left_semi").where("length(set) > 0").distinct(), "sets")
 
 
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -138,7 +124,8 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = [_similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.record_batch(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.select("a", "b").join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    # a bucket's smallest member stands in as many pairs as the bucket has members
+    joined = salted_join(pairs.select("a", "b"), sets.toDF("a", "x"), ["a"]).join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return settle(joined.mapInArrow(run, "a bigint, b bigint").distinct(), "links")
 
 
@@ -150,8 +137,8 @@ def _blockwise(members: DataFrame, percent: int, exact: bool, block: int = 512,
     members (pos, band, rep) with such a partner. ``exact``: members carry their sets, pairs are
     verified, and a spanning forest (a, b) of the links returns. Rows never outnumber members of blocks.
     """
-    counted = members.groupBy("pos", "band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    sized = members.join(counted, ["pos", "band"]).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    counted = members.groupBy("pos", "band").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("size") / (2000 * block))).cast("int").alias("blocks"))
+    sized = salted_join(members, counted, ["pos", "band"]).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("blocks", "other")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
@@ -188,33 +175,41 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Links join documents whose sets of ``width``-word shingles (ASCII lower case, words by ASCII
     white space; the whole sequence when shorter) have 100 * intersection >= percent * union. A
     component's id is the smallest doc_id in it. Null and empty texts have an empty set and link
-    with nothing; rows with a null id are not linked, their component_id is null and they are kept;
-    repeated rows share their id. Columns other than doc_id and text are ignored.
+    with nothing; rows with a null id are not linked, their component_id is null and they are kept.
+    Rows of one id belong together, whatever their texts: each gets its own n_shingles and the id's component.
+    An empty table gives no rows. Columns other than doc_id and text are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
     every = settle(_sketches(rows, width), "sketches")
     linked = every.where("n_shingles > 0 and doc_id is not null")
     classes = settle(linked.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands")), "classes")
-    member = classes.select("rep", F.posexplode("bands").alias("pos", "band"))
+    of = settle(salted_join(linked.select("doc_id", "n_shingles", "f1", "f2"), classes.select("f1", "f2", "rep"), ["f1", "f2"]).select("doc_id", "n_shingles", "rep"), "of")
+    # an id that stands with several texts links their classes
+    ends = of.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc_id", "a")
+    own = of.join(ends, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    member = settle(classes.select("rep", F.posexplode("bands").alias("pos", "band")), "bands")
     shared = settle(member.groupBy("pos", "band").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    held = settle(member.join(shared, ["pos", "band"]), "members")
+    held = settle(salted_join(member, shared, ["pos", "band"]), "members")
     pairs = settle(held.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     sets = _full_sets(rows, held.select(F.col("rep").alias("id")).distinct(), width)
-    links = verify(pairs, sets, percent)
+    links = settle(verify(pairs, sets, percent).union(own), "links")
     found = components(links)
     # Buckets of three or more that still hold several components: their other pairs.
-    named = held.where("n > 2").join(found.toDF("rep", "comp"), "rep", "left").select("pos", "band", "rep", F.coalesce("comp", "rep").alias("comp"))
+    named = settle(held.where("n > 2").select("pos", "band", "rep").join(found.toDF("rep", "comp"), "rep", "left").select("pos", "band", "rep", F.coalesce("comp", "rep").alias("comp")), "named")
     mixed = named.groupBy("pos", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("pos", "band")
-    open_members = settle(named.join(mixed, ["pos", "band"]).join(classes.select("rep", "size", "bands"), "rep"), "open")
+    open_members = settle(salted_join(named, mixed, ["pos", "band"]).join(classes.select("rep", "size", "bands"), "rep"), "open")
     paired = settle(_blockwise(open_members, percent, exact=False), "paired")
     if not paired.isEmpty():
-        full = open_members.join(paired, ["pos", "band", "rep"]).join(sets.toDF("rep", "set"), "rep")
+        full = settle(open_members.join(paired, ["pos", "band", "rep"]).join(sets.toDF("rep", "set"), "rep"), "full")
         extra = settle(_blockwise(full, percent, exact=True), "links")
         if not extra.isEmpty():
             old, found = found, components(links.union(extra))
             discard(old)
-    for t in (held, shared, sets, open_members):
+        discard(full)
+        discard(extra)
+    in_class = of.join(found.toDF("rep", "comp"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
+    alone = every.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = settle(in_class.union(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")), "near")
+    for t in (every, classes, of, member, held, shared, pairs, sets, links, found, named, open_members, paired):
         discard(t)
-    of = every.join(classes.select("f1", "f2", "rep"), ["f1", "f2"], "left").join(found.toDF("rep", "comp"), "rep", "left")
-    least = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "rep")).otherwise(F.col("doc_id"))
-    return of.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), least)).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out
