@@ -5,7 +5,7 @@ share of its distinct words (containment). Words are put in order of their frequ
 blocks of the corpus, rarest first: a template whose needed overlap is o can only be met by a block
 that holds one of its first |T| - o + 1 words (prefix filter), that has o words at least (length
 filter), and whose words from the match on leave room for o (positional filter). The rest is
-verified. Line breaks and sentence ends cut notices, so templates are also looked for in stretches of
+verified, and the words that name the license must be among those found. Line breaks and sentence ends cut notices, so templates are also looked for in stretches of
 words across blocks, no longer than the template over the threshold. Fixed phrases are found beside
 it, as places of consecutive words.
 """
@@ -26,27 +26,29 @@ from graphloom.llm.common import text_batches
 
 #: Phrases of the base scan and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: (label, text) of the templates; a bounded, stated set.
+#: (label, text, words without which the block is about something else) of the templates; a bounded, stated set.
 TEMPLATES = (
-    ("gpl", "licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "licensed under the gnu lesser general public license"),
-    ("agpl", "licensed under the gnu affero general public license"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("cc-by", "licensed under cc by 4 0"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("public-domain", "this is free and unencumbered software released into the public domain"),
-    ("proprietary", "all rights reserved no part of this publication may be reproduced without permission"),
+    ("gpl", "licensed under the gnu general public license version 3", "gnu general public"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gnu general public"),
+    ("lgpl", "licensed under the gnu lesser general public license", "gnu lesser"),
+    ("agpl", "licensed under the gnu affero general public license", "gnu affero"),
+    ("mit", "released under the mit license", "mit license"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission granted software"),
+    ("apache", "licensed under the apache license version 2 0", "apache license"),
+    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at", "file compliance license"),
+    ("cc-by", "licensed under cc by 4 0", "cc by"),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
+    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
+    ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution source binary permitted"),
+    ("bsd", "released under the bsd license", "bsd license"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public"),
+    ("public-domain", "this is free and unencumbered software released into the public domain", "unencumbered public domain"),
+    ("proprietary", "all rights reserved no part of this publication may be reproduced without permission", "rights reserved reproduced"),
 )
 _TABLE = bytes((c | 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32) for c in range(256))
-_BLOCK = re.compile(r"\n+|(?<=[.!?])\s+")
+#: Blocks are cut at ASCII characters only, which never stand within a word.
+_BLOCK = re.compile(r"\n+|(?<=[.!?])[ \t-\r]+")
 
 
 def blocks(text: str) -> list[list[bytes]]:
@@ -58,12 +60,14 @@ class TemplateIndex:
     """Templates with words in one global order, indexed by their prefixes."""
 
     def __init__(self, templates, frequency: dict[bytes, int], threshold: float):
-        self.rank = {w: k for k, w in enumerate(sorted(set().union(*(self.words(t) for _, t in templates)), key=lambda w: (frequency.get(w, 0), w)))}
+        self.rank = {w: k for k, w in enumerate(sorted(set().union(*(self.words(t) for _, t, _ in templates)), key=lambda w: (frequency.get(w, 0), w)))}
         self.items, self.prefix, self.span = [], {}, []
-        for k, (label, text) in enumerate(templates):
+        for k, (label, text, named) in enumerate(templates):
             words = sorted(self.words(text), key=self.rank.__getitem__)
+            if not self.words(named) <= set(words):
+                raise ValueError(f"{named!r} is not all in {text!r}")
             need = max(1, ceil(threshold * len(words) - 1e-9))
-            self.items.append((label, frozenset(words), need))
+            self.items.append((label, frozenset(words), need, self.words(named)))
             self.span.append(ceil(len(text.encode().translate(_TABLE).split()) / threshold - 1e-9))
             for at, w in enumerate(words[: len(words) - need + 1]):
                 self.prefix.setdefault(w, []).append((k, at))
@@ -82,12 +86,12 @@ class TemplateIndex:
         tried, out = set(), []
         for place, w in enumerate(known):
             for k, at in self.prefix.get(w, ()):
-                label, whole, need = self.items[k]
+                _, whole, need, named = self.items[k]
                 if k in tried or len(held) < need or min(len(whole) - at, len(known) - place) < need:
                     continue
                 tried.add(k)
                 both = len(whole & held)
-                if both >= need:
+                if both >= need and named <= held:
                     out.append((k, both / len(whole)))
         return out
 
@@ -96,8 +100,8 @@ class TemplateIndex:
         held, out = set(words), []
         if self.first.isdisjoint(held):
             return out
-        for k, (_, whole, need) in enumerate(self.items):
-            if len(whole & held) < need:
+        for k, (_, whole, need, named) in enumerate(self.items):
+            if len(whole & held) < need or not named <= held:
                 continue
             at, a, count, last = [i for i, w in enumerate(words) if w in whole], 0, Counter(), None
             for i in at:
@@ -108,7 +112,7 @@ class TemplateIndex:
                     if not count[w]:
                         del count[w]
                     a += 1
-                if len(count) < need:
+                if len(count) < need or not named <= count.keys():
                     continue
                 found = (k, at[a], i, len(count) / len(whole))
                 if last is None or found[1] > last[2]:
@@ -121,7 +125,7 @@ class TemplateIndex:
 
 def _frequencies(rows: DataFrame, templates) -> dict[bytes, int]:
     """In how many of the corpus's blocks each template word stands; no more rows than template words."""
-    vocabulary = frozenset().union(*(TemplateIndex.words(t) for _, t in templates))
+    vocabulary = frozenset().union(*(TemplateIndex.words(t) for _, t, _ in templates))
 
     def run(batches):
         for batch in batches:
@@ -157,7 +161,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] | None =
     except where the words found are among those of another template met there that has more of
     them or, having the same, is met better. ``score`` is
     the largest containment, 1 where a phrase stands, else 0. Null and empty texts have no words,
-    no labels (empty strings) and score 0; null ids and repeated rows give rows like others; other
+    no labels (empty strings) and score 0; null ids and repeated rows give rows like others; an empty table gives no rows; other
     columns are ignored. Two passes (frequencies, join), no shuffle of texts.
     """
     phrases = PHRASES if phrases is None else phrases
