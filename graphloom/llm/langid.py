@@ -92,17 +92,32 @@ class Pieces:
             out.append(ids)
         return sizes, codes, out
 
+    def odd(self, words: list[str], lattice, prob: np.ndarray) -> np.ndarray:
+        """By place: the product of the bytes' probabilities of a character that is no piece, else 0."""
+        out = np.zeros(lattice[0].shape)
+        for r, w in enumerate(words):
+            for j in np.flatnonzero(lattice[0][r, : len(w) + 1] < 0):
+                out[r, j] = np.prod([prob[self.byte_ids[b]] for b in ("▁" + w)[j].encode("utf-8", "surrogatepass")])
+        return out
+
 
 @lru_cache(2)
 def pieces_of(path: str) -> Pieces:
     return Pieces(list(vocabulary(path)))
 
 
-def _forward(table: np.ndarray, finder: Pieces, words: list[str], keep: bool = False):
-    """Log probability of each word per column of ``table`` (pieces x languages), all segmentations summed."""
+#: Probabilities below 1 / SCALE are multiplied by SCALE and the turn is remembered.
+SCALE = 1e100
+
+
+def _forward(table: np.ndarray, finder: Pieces, words: list[str]):
+    """(log probability of each word per column of ``table`` (pieces x languages), all segmentations summed; sizes; lattice; alpha; turns).
+
+    ``alpha[j]`` of a word is scaled up by SCALE as often as ``turns[j]`` says.
+    """
     sizes, codes, lattice = finder.lattice(words)
-    n, m, width = len(words), codes.shape[1], table.shape[1]
-    alpha, offset = np.zeros((m + 1, n, width)), np.zeros(n)
+    n, m, width, longest = len(words), codes.shape[1], table.shape[1], len(lattice)
+    alpha, turns = np.zeros((m + 1, n, width)), np.zeros((m + 1, n))
     alpha[0] = 1.0
     padded = np.vstack([table, np.zeros((1, width))])
     # characters that are no piece: the product of their bytes' pieces
@@ -110,23 +125,25 @@ def _forward(table: np.ndarray, finder: Pieces, words: list[str], keep: bool = F
     single = {int(c): np.prod([table[finder.byte_ids[b]] for b in chr(int(c)).encode("utf-8", "surrogatepass")], axis=0) for c in np.unique(codes[odd])}
     out = np.zeros((n, width))
     for j in range(1, m + 1):
-        for d in range(1, min(j, len(lattice)) + 1):
+        turns[j] = turns[j - 1]
+        for d in range(1, min(j, longest) + 1):
             p = padded[lattice[d - 1][:, j - d]]
             if d == 1 and odd[:, j - 1].any():
                 for r in np.flatnonzero(odd[:, j - 1]):
                     p[r] = single[int(codes[r, j - 1])]
             alpha[j] += alpha[j - d] * p
+        if j % 4 == 0:
+            # a word's last columns keep one scale, as the next ones are made of them
+            first = max(0, j - longest + 1)
+            low = (alpha[first : j + 1].max(axis=(0, 2)) < 1 / SCALE) & (sizes >= j)
+            if low.any():
+                alpha[first : j + 1, low] *= SCALE
+                turns[first : j + 1, low] += 1
         done = sizes == j
         if done.any():
             with np.errstate(divide="ignore"):
-                out[done] = np.maximum(np.log(alpha[j][done]), -745.0) + offset[done, None]
-        if j % 8 == 0 and not keep:
-            live = alpha[max(0, j - 15) : j + 1]
-            low = live.max(axis=(0, 2)) < 1e-100
-            if low.any():
-                live[:, low] *= 1e100
-                offset[low] -= 100 * np.log(10)
-    return (out, sizes, lattice, alpha) if keep else out
+                out[done] = np.maximum(np.log(alpha[j][done]), -745.0) - turns[j][done, None] * np.log(SCALE)
+    return out, sizes, lattice, alpha, turns
 
 
 def _by_length(words: list[str], most: int = 4096):
@@ -145,29 +162,47 @@ def _by_length(words: list[str], most: int = 4096):
 def word_log_probs(table: np.ndarray, finder: Pieces, words: list[str]) -> np.ndarray:
     out = np.zeros((len(words), table.shape[1]))
     for part in _by_length(words):
-        out[part] = _forward(table, finder, [words[k] for k in part])
+        out[part] = _forward(table, finder, [words[k] for k in part])[0]
     return out
 
 
 def _expected(words: Counter, prob: np.ndarray, finder: Pieces) -> np.ndarray:
-    """Expected piece counts of one language: forward and backward over all words' segmentations."""
-    todo = [w for w in words if len(w) <= 40]
+    """Expected piece counts of one language: forward and backward over all segmentations of all words, of any length.
+
+    The bytes of characters that are no piece are not counted here.
+    """
+    todo = list(words)
     out, padded = np.zeros(len(prob) + 1), np.append(prob, 0.0)
     for part in _by_length(todo):
         own = [todo[k] for k in part]
-        _, sizes, lattice, alpha = _forward(prob[:, None], finder, own, keep=True)
-        alpha, n, m = alpha[:, :, 0], len(own), alpha.shape[0] - 1
-        beta = np.zeros((m + 1, n))
-        beta[sizes, np.arange(n)] = 1.0
+        _, sizes, lattice, alpha, turns = _forward(prob[:, None], finder, own)
+        alpha, n, m, longest, every = alpha[:, :, 0], len(own), alpha.shape[0] - 1, len(lattice), np.arange(len(own))
+        odd = finder.odd(own, lattice, prob)
+        beta, back = np.zeros((m + 1, n)), np.zeros((m + 1, n))
+        beta[sizes, every] = 1.0
         for i in range(m - 1, -1, -1):
-            for d in range(1, min(m - i, len(lattice)) + 1):
-                beta[i] += padded[lattice[d - 1][:, i]] * beta[i + d]
-        total = alpha[sizes, np.arange(n)]
-        weight = np.where(total > 1e-290, np.array([words[w] for w in own]) / np.maximum(total, 1e-290), 0.0)
+            back[i] = np.where(i < sizes, back[i + 1], 0.0)
+            for d in range(1, min(m - i, longest) + 1):
+                p = padded[lattice[d - 1][:, i]]
+                if d == 1:
+                    p = np.where(odd[:, i] > 0, odd[:, i], p)
+                beta[i] += p * beta[i + d]
+            if i % 4 == 0:
+                last = min(m, i + longest - 1)
+                low = (beta[i : last + 1].max(axis=0) < 1 / SCALE) & (sizes > i)
+                if low.any():
+                    beta[i : last + 1, low] *= SCALE
+                    back[i : last + 1, low] += 1
+        total, turned = alpha[sizes, every], turns[sizes, every]
+        weight = np.where(total > 0, np.array([words[w] for w in own]) / np.where(total > 0, total, 1.0), 0.0)
         for i in range(m):
-            for d in range(1, min(m - i, len(lattice)) + 1):
+            for d in range(1, min(m - i, longest) + 1):
                 ids = lattice[d - 1][:, i]
-                out += np.bincount(np.where(ids < 0, len(prob), ids), alpha[i] * padded[ids] * beta[i + d] * weight, len(out))
+                if (ids < 0).all():
+                    continue
+                rest = np.clip(turned - turns[i] - back[i + d], -3, 3)
+                share = alpha[i] * SCALE ** np.minimum(rest, 0) * padded[ids] * beta[i + d] * SCALE ** np.maximum(rest, 0) * weight
+                out += np.bincount(np.where(ids < 0, len(prob), ids), share, len(out))
     return out[:-1]
 
 
