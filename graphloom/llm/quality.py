@@ -1,12 +1,11 @@
 """Quality selection by importance resampling.
 
-Two bag models over hashed n-grams are fitted: one on target text (documents labelled good), one on
-the raw corpus. A document's importance weight is the ratio of its probabilities under the two; its
-logarithm per n-gram, divided by a temperature and perturbed by Gumbel noise, makes the key whose
+Two generative models over hashed n-grams are fitted: one on target text (documents labelled good), one on
+the raw corpus. A document's importance weight is the ratio of its probabilities under the two, so
+its logarithm is the sum of its n-grams' log ratios; Gumbel noise added to that makes the key whose
 top k are a sample without replacement in proportion to the weights.
 
-N-grams are words and punctuation runs (with their case shape) and pairs of neighbours; a repeated
-neighbour is one n-gram of its own, whatever the word. Raw counts cover all documents.
+N-grams are words and punctuation runs, as they are written, and pairs of neighbours. Raw counts cover all documents.
 """
 
 from __future__ import annotations
@@ -41,10 +40,9 @@ class Hasher:
             known.clear()
         for t in set(tokens):
             if t not in known:
-                known[t] = crc32((("A" if len(t) > 1 and t.isupper() else "") + t.lower()[:24]).encode("utf-8", "surrogatepass"))
+                known[t] = crc32(t.encode("utf-8", "surrogatepass"))
         h = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
         pairs = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) >> np.uint64(40)
-        pairs[h[:-1] == h[1:]] = 1
         return np.concatenate([h % np.uint64(BUCKETS), pairs % np.uint64(BUCKETS)]).astype(np.int64)
 
 
@@ -109,11 +107,11 @@ def _threshold(keys: DataFrame, k: int) -> tuple[float, int]:
     return rows[0]["key"], rows[0]["rid"]
 
 
-def resample(docs: DataFrame, labels: DataFrame, fraction: float = 0.85, temperature: float = 0.08, model: QualityModel | None = None, fold: tuple[int, int] = (3, 1)) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, fraction: float = 0.85, temperature: float = 1.0, model: QualityModel | None = None, fold: tuple[int, int] = (3, 1)) -> DataFrame:
     """doc_id, held_out, n_grams, log_weight, key, selected: one row per input row, ceil(fraction * rows) selected.
 
-    ``log_weight`` is the log importance weight per n-gram. Null and empty texts have no n-gram and
-    weight 0 (log); noise is drawn from id and text, so reruns agree; equal keys are told apart by
+    ``log_weight`` is the log importance weight of the whole text; a ``temperature`` other than 1 divides it in the key.
+    Null and empty texts have no n-gram and weight 0 (log); noise is drawn from id and text, so reruns agree; equal keys are told apart by
     row. Without labels all weights are equal. An empty table gives no rows; other columns are ignored.
     """
     model = model or fit(docs, labels, fold=fold)
@@ -126,13 +124,13 @@ def resample(docs: DataFrame, labels: DataFrame, fraction: float = 0.85, tempera
 
         hasher, table, rid = Hasher(), shared.value.log_ratio, TaskContext.get().partitionId() << 33
         for batch in batches:
-            n, mean = [], []
+            n, weight = [], []
             for _, texts in text_batches(batch):
                 for t in texts:
                     h = hasher(t)
                     n.append(len(h))
-                    mean.append(float(table[h].mean()) if len(h) else 0.0)
-            yield pa.record_batch([pa.array(range(rid, rid + len(n)), pa.int64()), batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(mean, pa.float64())], ["rid", "doc_id", "noise", "n_grams", "log_weight"])
+                    weight.append(float(table[h].sum()))
+            yield pa.record_batch([pa.array(range(rid, rid + len(n)), pa.int64()), batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(weight, pa.float64())], ["rid", "doc_id", "noise", "n_grams", "log_weight"])
             rid += len(n)
 
     scored = rows.mapInArrow(run, f"rid bigint, doc_id {id_type}, noise bigint, n_grams bigint, log_weight double")
