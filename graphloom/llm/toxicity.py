@@ -1,8 +1,8 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on ordinary and one on toxic text; what ordinary text
-uses as well is taken out of the toxic one. A text is cut into windows of one word (long ones into
-stretches). Each window is compressed under either dictionary, between fixed ends that let short
+uses as well is taken out of the toxic one. A text is cut into windows of one word; words too short
+to be matched form windows with their neighbours, long ones are cut into stretches. Each window is compressed under either dictionary, between fixed ends that let short
 matches show; the bytes that either side saves make the window's place in a table of calibrated
 log-likelihood ratios. Windows over the thresholds are counted, and a logistic curve over their
 counts and shares gives the score.
@@ -10,6 +10,7 @@ counts and shares gives the score.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass
 from itertools import islice
@@ -44,9 +45,20 @@ class ToxicityModel:
     cut: float
 
 
+#: Words one after another of up to three bytes each, and the longer word after them, if there is one.
+_SHORT = re.compile(rb"(?:(?<= )|^)([^ ]{1,3}(?: [^ ]{1,3})*)(?= |$)(?: ([^ ]+))?")
+
+
 def windows(text: str) -> list[bytes]:
-    """The whole text, ASCII letters lower-cased, as words of letters and digits; those over WINDOW bytes as stretches."""
-    out = text.encode("utf-8", "surrogatepass").translate(_WORDS).split()
+    """The whole text, ASCII letters lower-cased: words of letters and digits, and the runs of short ones.
+
+    A word of four bytes or more is a window of its own. Short words one after another are one window, with the
+    word after them if they have less than four bytes together. Windows over WINDOW bytes are cut into stretches.
+    """
+    words = text.encode("utf-8", "surrogatepass").translate(_WORDS).split()
+    out = [w for w in words if len(w) > 3]
+    if len(out) < len(words):
+        out += [a if len(a) > 3 or not b else a + b" " + b for a, b in _SHORT.findall(b" ".join(words))]
     if max(map(len, out), default=0) > WINDOW:
         out = [w[i : i + WINDOW] for w in out for i in range(0, len(w), WINDOW)]
     return out
@@ -90,8 +102,6 @@ class Scorer:
         return min(MOST, n), min(MOST, max(0, self.plain(window))), min(LEFT, max(0, len(window) - n))
 
     def level(self, window: bytes) -> int:
-        if len(window) < 4:
-            return 0
         return int(self.model.levels[self.saved(window)])
 
     def features(self, text: str | None) -> list[float]:
@@ -135,19 +145,25 @@ def _telling(plain: list[frozenset[bytes]], bad: list[frozenset[bytes]], least:
     return out
 
 
-def fit_texts(texts: list[str], toxic: list[int], cut: float = 0.7, odds: float | None = None, ordinary_size: int = 4096, toxic_size: int = 16_384) -> ToxicityModel:
+def fit_texts(texts: list[str], toxic: list[int], cut: float = 0.7, odds: float | None = None, ordinary_size: int = 4096, toxic_size: int = 16_384, stretches: int = 20_000) -> ToxicityModel:
     """Train both dictionaries, the table of evidence and the curve on the given rows.
 
-    ``odds`` of toxic to ordinary rows among all labelled ones, if the given rows are drawn otherwise.
+    ``odds`` of toxic to ordinary rows among all labelled ones, if the given rows are drawn otherwise; ``stretches`` of
+    eight windows at most, evenly drawn, that the ordinary dictionary is trained on.
     """
+    one: dict[bytes, bytes] = {}
+    found = [[one.setdefault(w, w) for w in windows(t)] for t in texts]
+    return fit_windows(found, toxic, cut, odds, ordinary_size, toxic_size, stretches)
+
+
+def fit_windows(found: list[list[bytes]], toxic: list[int], cut: float = 0.7, odds: float | None = None, ordinary_size: int = 4096, toxic_size: int = 16_384, stretches: int = 20_000) -> ToxicityModel:
+    """``fit_texts`` from the texts' windows."""
     y = np.array(toxic, dtype=float)
     if not len(y) or y.min() == y.max():
         return ToxicityModel(b"", b"", np.zeros((MOST + 1, MOST + 1, LEFT + 1), int), (0.0,) * (2 * len(LEVELS)), -3.0, cut)
-    one: dict[bytes, bytes] = {}
-    found = [[one.setdefault(w, w) for w in windows(t)] for t in texts]
     lines = lambda kind: (b" ".join(f[i : i + 8]) for f, k in zip(found, toxic) if k == kind for i in range(0, len(f), 8))
     n = sum(len(f) // 8 + 1 for f, k in zip(found, toxic) if not k)
-    ordinary = _content(list(islice(lines(0), 0, None, max(1, n // 20_000))), ordinary_size)
+    ordinary = _content(list(islice(lines(0), 0, None, max(1, n // stretches))), ordinary_size)
     # Toxic text is mostly ordinary words: the toxic dictionary is trained on what is left of it without them.
     sets = [frozenset(f) for f in found]
     heads = _telling([s for s, k in zip(sets, toxic) if not k], [s for s, k in zip(sets, toxic) if k])
@@ -160,14 +176,13 @@ def fit_texts(texts: list[str], toxic: list[int], cut: float = 0.7, odds: float
     seen = np.full((2, MOST + 1, MOST + 1, LEFT + 1), 0.5)
     for f, k in zip(found, toxic):
         for w in f:
-            if len(w) >= 4:
-                if w not in saved:
-                    saved[w] = scorer.saved(w)
-                seen[(k, *saved[w])] += 1
+            if w not in saved:
+                saved[w] = scorer.saved(w)
+            seen[(k, *saved[w])] += 1
     ratio = np.log(seen[1] / seen[1].sum()) - np.log(seen[0] / seen[0].sum())
     # evidence needs some support: cells with hardly a toxic window tell nothing
     levels = np.where(seen[1] >= 3, np.digitize(ratio, LEVELS), 0)
-    rows = [[1.0, *_features(np.bincount([levels[saved[w]] if len(w) >= 4 else 0 for w in f], minlength=len(LEVELS) + 1))] for f in found]
+    rows = [[1.0, *_features(np.bincount([levels[saved[w]] for w in f], minlength=len(LEVELS) + 1))] for f in found]
     w = _logistic(np.array(rows), y)
     if odds:
         w[0] += np.log(odds) - np.log(y.sum() / (len(y) - y.sum()))
@@ -190,7 +205,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = (3000, 1500), fold: tuple[int, int] = (3, 1), cut: float = 0.7) -> ToxicityModel:
     """Fit on about ``rows`` labelled rows (ordinary, toxic), outside the held-out fold, whole texts.
 
-    The sample is drawn by the id's hash; the score's odds are those of all labelled rows. Null texts, ids and labels are not learned from.
+    The sample is drawn by the id's hash; the driver holds its windows, each distinct one once. The score's odds are those of all labelled rows. Null texts, ids and labels are not learned from.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & (crc_mod("doc_id", fold[0]) != fold[1])).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -199,9 +214,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = (3000, 1500)
     place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) / F.lit(1e6)
     rate = F.when(F.col("toxic") == 1, F.lit(min(1.0, rows[1] / sizes[1]))).otherwise(F.lit(min(1.0, rows[0] / sizes[0])))
     sample = known.where(place < rate)
-    found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").collect()
-    found.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return fit_texts([r["text"] for r in found], [r["toxic"] for r in found], cut=cut, odds=sizes[1] / sizes[0])
+    one: dict[bytes, bytes] = {}
+    found, toxic = [], []
+    for r in docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text").toLocalIterator():
+        found.append([one.setdefault(w, w) for w in windows(r["text"])])
+        toxic.append(r["toxic"])
+    return fit_windows(found, toxic, cut=cut, odds=sizes[1] / sizes[0])
 
 
 def scorer_column(df: DataFrame, model: ToxicityModel, text: str | Column = "text") -> Column:
@@ -220,7 +238,7 @@ def scorer_column(df: DataFrame, model: ToxicityModel, text: str | Column = "tex
 def classify(docs: DataFrame, labels: DataFrame | None = None, model: ToxicityModel | None = None, fold: tuple[int, int] = (3, 1), cut: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted for every row, whole texts.
 
-    Null and empty texts get the score of a text without a marked window. Without labels of both
+    Null and empty texts get the score of a text without a marked window; an empty table gives no rows. Without labels of both
     classes nothing can be learned and every score is that of the prior. Null ids are scored, not
     held out; repeated rows give a row each; other columns are ignored.
     """
