@@ -6,21 +6,21 @@ one bucket of a table and also visits the next likely ones (multiprobe). A pair
 lives and the other lives or visits; its cosine is computed in double precision, and it is counted
 in the first place where the two meet, so no list of pairs is ever shuffled.
 
-Equal vectors become one class with a weight. Buckets are compared block by block; a group gives back
+Equal vectors become one class with a weight. A table has so many buckets that vectors without a near one
+mostly stand alone, and vectors go only where another one is. Large buckets are compared block by block; a group gives back
 each vector's number of links and a spanning forest, not its pairs.
 """
 
 from __future__ import annotations
 
-from math import ceil, log
+from math import log
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import discard, settle
+from graphloom.llm.common import discard, salted_join, settle
 from graphloom.llm.components import components
 
 #: Buckets of a table that a vector is found in: its own, and the next best by either of two hashes.
@@ -39,7 +39,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 def bucket_keys(x: np.ndarray, tables: int, hashes: int, seed: int = 7) -> np.ndarray:
-    """Per row, tables x PROBES keys; the first of a table is the home bucket."""
+    """Per row, tables x PROBES keys, to be told apart by table; the first of a table is the home bucket."""
     n, d = x.shape
     size = 1 << max(1, (d - 1).bit_length())
     padded = np.zeros((n, size))
@@ -62,7 +62,7 @@ def bucket_keys(x: np.ndarray, tables: int, hashes: int, seed: int = 7) -> np.nd
             gap.append(top - m[rows, b])
         order = np.argsort(np.stack(gap, 1), axis=1, kind="stable")
         for p in range(PROBES):
-            key = np.full(n, t + 64 * d, np.int64)
+            key = np.zeros(n, np.int64)
             for k in range(hashes):
                 turned = p > 0 and order[:, min(p - 1, hashes - 1)] == k
                 key = key * (2 * size + 1) + np.where(turned, second[k], best[k])
@@ -70,8 +70,8 @@ def bucket_keys(x: np.ndarray, tables: int, hashes: int, seed: int = 7) -> np.nd
     return out.reshape(n, tables * PROBES)
 
 
-def _vectors(rows: DataFrame) -> DataFrame:
-    """vec_id and the vector as bytes of doubles; null if it is null, empty, zero or not all finite numbers."""
+def _vectors(rows: DataFrame, kind: str) -> DataFrame:
+    """vec_id and the vector's components as bytes; null if it is null, empty, zero or not all finite numbers."""
 
     def run(batches):
         for batch in batches:
@@ -81,105 +81,170 @@ def _vectors(rows: DataFrame) -> DataFrame:
                 if a is None or not len(a) or a.null_count:
                     out.append(None)
                     continue
-                x = a.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
+                x = a.to_numpy(zero_copy_only=False).astype(kind) + np.zeros(1, kind)
                 out.append(x.tobytes() if np.isfinite(x).all() and x.any() else None)
             yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], ["vec_id", "vec"])
 
     return rows.mapInArrow(run, "vec_id bigint, vec binary")
 
 
-def _unit(vecs) -> np.ndarray:
-    x = np.frombuffer(b"".join(vecs), np.float64).reshape(len(vecs), -1)
+def _unit(vecs, kind: str = "<f8") -> np.ndarray:
+    x = np.frombuffer(b"".join(vecs), kind).reshape(len(vecs), -1).astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _compare(threshold: float, tables: int):
-    def counted(x, y, kx, ky, table: int, key: int) -> np.ndarray:
-        """Of the pairs (rows x, y of kx, ky), those that meet here first."""
-        keep = np.ones(len(x), bool)
-        for t in range(table):
-            a, b = kx[x, t], ky[y, t]
-            keep &= ~((a[:, :1] == b).any(1) | (b[:, :1] == a).any(1))
-        a, b = kx[x, table], ky[y, table]
-        both = (a[:, :1] == b).any(1) & (b[:, :1] == a).any(1)
-        return keep & ((a[:, 0] == key) | (b[:, 0] == key)) & ~(both & (np.minimum(a[:, 0], b[:, 0]) != key))
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        i, j, table, key = (int(group[c].iloc[0]) for c in ("i", "j", "table", "key"))
-        mine = group["mine"].to_numpy()
-        x, rep, weight = _unit(list(group["vec"])), group["rep"].to_numpy(), group["weight"].to_numpy()
-        keys = np.frombuffer(b"".join(group["keys"]), np.int64).reshape(len(group), tables, PROBES)
-        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        degree, parent = np.zeros(len(group), np.int64), np.arange(len(group))
-
-        def root(k):
-            while parent[k] != k:
-                parent[k] = parent[parent[k]]
-                k = parent[k]
-            return k
-
-        for at in range(0, len(left), 256):
-            part = left[at : at + 256]
-            a, b = np.nonzero(x[part] @ x[right].T >= threshold)
-            a, b = part[a], right[b]
-            if i == j:
-                a, b = a[a < b], b[a < b]
-            hold = counted(a, b, keys, keys, table, key)
+def _first_meeting(kx: np.ndarray, ky: np.ndarray, table: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Of pairs with keys kx and ky (pairs x tables x PROBES), seen in bucket (table, key), those that meet there first."""
+    keep, rows = np.ones(len(kx), bool), np.arange(len(kx))
+    for t in range(int(table.max(initial=0))):
+        a, b = kx[:, t], ky[:, t]
+        keep &= (t >= table) | ~((a[:, :1] == b).any(1) | (b[:, :1] == a).any(1))
+    a, b = kx[rows, table], ky[rows, table]
+    both = (a[:, :1] == b).any(1) & (b[:, :1] == a).any(1)
+    return keep & ((a[:, 0] == key) | (b[:, 0] == key)) & ~(both & (np.minimum(a[:, 0], b[:, 0]) != key))
+
+
+def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the trees (labels point to smaller places, roots to themselves) of each a and b."""
+    while len(a):
+        x, y = label[a], label[b]
+        open_ = x != y
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        least = np.minimum(x, y)
+        np.minimum.at(label, x, least)
+        np.minimum.at(label, y, least)
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
+#: Rows compared together; members of a bucket up to which its pairs are listed beside those of other buckets.
+TOGETHER, SMALL = 16_384, 48
+
+
+class _Comparer:
+    """Links within groups of rows (rep, weight, table, key, i, j, mine, vec, keys), groups one after another."""
+
+    def __init__(self, threshold: float, tables: int, kind: str, key_kind: str):
+        self.threshold, self.tables, self.kind, self.key_kind = threshold, tables, kind, key_kind
+
+    def pairs(self, sizes: np.ndarray, starts: np.ndarray, i, j, mine):
+        """(a, b) index arrays: small groups all at once, then large ones in strips."""
+        small = np.flatnonzero((sizes <= SMALL) & (i[starts] == j[starts]))
+        for size in np.unique(sizes[small]):
+            if size > 1:
+                at = starts[small[sizes[small] == size]]
+                x, y = np.triu_indices(int(size), 1)
+                for k in range(0, len(at), max(1, 400_000 // len(x))):
+                    part = at[k : k + max(1, 400_000 // len(x)), None]
+                    yield (part + x).ravel(), (part + y).ravel(), None
+        for g in np.setdiff1d(np.arange(len(sizes)), small):
+            rows = np.arange(starts[g], starts[g] + sizes[g])
+            own = mine[rows]
+            left, right = rows[own == i[rows[0]]], rows[own == j[rows[0]]]
+            for k in range(0, len(left), 256):
+                yield left[k : k + 256], right, i[rows[0]] == j[rows[0]]
+
+    def __call__(self, t: pa.Table) -> pa.RecordBatch:
+        rep, weight, table, key, i, j, mine = (t[c].to_numpy() for c in ("rep", "weight", "table", "key", "i", "j", "mine"))
+        vecs = t["vec"].to_pylist()
+        wide = np.array([len(v) for v in vecs])
+        keys = np.frombuffer(b"".join(t["keys"].to_pylist()), self.key_kind).reshape(len(t), self.tables, PROBES)
+        starts = np.flatnonzero(np.r_[True, (table[1:] != table[:-1]) | (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        sizes = np.diff(np.r_[starts, len(t)])
+        x = np.zeros((len(t), int(wide.max()) // np.dtype(self.kind).itemsize))
+        for w in np.unique(wide):
+            at = np.flatnonzero(wide == w)
+            x[at, : w // np.dtype(self.kind).itemsize] = _unit([vecs[k] for k in at], self.kind)
+        local = (key % (1 << 32)).astype(keys.dtype) if keys.dtype.itemsize < 8 else key
+        degree, label = np.zeros(len(t), np.int64), np.arange(len(t))
+        for a, b, strip in self.pairs(sizes, starts, i, j, mine):
+            if strip is None:
+                hit = np.einsum("nd,nd->n", x[a], x[b]) >= self.threshold
+                a, b = a[hit], b[hit]
+            else:
+                p, q = np.nonzero(x[a] @ x[b].T >= self.threshold)
+                a, b = a[p], b[q]
+                if strip:
+                    a, b = a[a < b], b[a < b]
+            alike = wide[a] == wide[b]
+            a, b = a[alike], b[alike]
+            hold = _first_meeting(keys[a], keys[b], table[a], local[a])
             a, b = a[hold], b[hold]
             np.add.at(degree, a, weight[b])
             np.add.at(degree, b, weight[a])
-            for p, q in zip(a.tolist(), b.tolist()):
-                p, q = root(p), root(q)
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-        roots = np.array([root(k) for k in range(len(group))])
-        some = (degree > 0) | (roots != np.arange(len(group)))
-        return pd.DataFrame({"rep": rep[some], "other": rep[roots[some]], "links": degree[some]})
+            _merge(label, a, b)
+        some = (degree > 0) | (label != np.arange(len(t)))
+        return pa.record_batch([pa.array(rep[some]), pa.array(rep[label[some]]), pa.array(degree[some])], ["rep", "other", "links"])
 
-    return compare
-
-
-def near_vectors(vectors: DataFrame, threshold: float = 0.95, tables: int = 14, hashes: int | None = None, block: int = 1024) -> DataFrame:
+    def run(self, batches):
+        """Whole groups at a time; the last group of what has been read waits for more."""
+        held = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if len(held) >= TOGETHER:
+                columns = [held[c].to_numpy() for c in ("table", "key", "i", "j")]
+                same = np.logical_and.reduce([c == c[-1] for c in columns])
+                cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+                if cut:
+                    yield self(held.slice(0, cut))
+                    held = held.slice(cut)
+        if held is not None and len(held):
+            yield self(held)
+
+
+def near_vectors(vectors: DataFrame, threshold: float = 0.95, tables: int = 14, hashes: int | None = None, block: int = 2048) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per input row, links at cosine >= threshold.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor
     do vectors of different length; rows with a null id are not linked, their component_id is null
     and they are kept; repeated rows count as vectors of their own. ``hashes`` per table grows with
-    the logarithm of the number of distinct vectors, which keeps buckets small. Other columns are
+    the logarithm of the number of distinct vectors, which keeps buckets small. An empty table gives no rows; other columns are
     ignored.
     """
-    every = settle(_vectors(vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding")), "vectors")
-    classes = settle(every.where("vec is not null and vec_id is not null").groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")), "classes")
-    if hashes is None:
-        n, wide = (classes.agg(F.count(F.lit(1)), F.max(F.octet_length("vec"))).first()[k] or 1 for k in (0, 1))
-        hashes = max(2, ceil(log(max(2, n) / 64) / log(2 * max(2, wide // 8))))
+    element = vectors.schema["embedding"].dataType.elementType.typeName()
+    kind = "<f4" if element == "float" else "<f8"
+    every = settle(_vectors(vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding"), kind), "vectors")
+    linked = every.where("vec is not null and vec_id is not null")
+    classes = settle(linked.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")), "classes")
+    n, wide = (classes.agg(F.count(F.lit(1)), F.max(F.octet_length("vec"))).first()[k] or 1 for k in (0, 1))
+    wide = max(2, wide // np.dtype(kind).itemsize)
+    hashes = hashes or max(2, round(log(4 * max(2, n)) / log(2 * wide)))
+    # a key below the length and the table fits into as many bytes as its hashes take
+    codes = (2 * (1 << max(1, (wide - 1).bit_length())) + 1) ** hashes
+    key_kind = "<u2" if codes < 1 << 16 else "<u4" if codes < 1 << 32 else "<i8"
 
     def hash_all(batches):
         for batch in batches:
             vecs = batch.column(0).to_pylist()
-            keys = [b""] * len(vecs)
+            keys, longs = [b""] * len(vecs), [None] * len(vecs)
             for size in {len(v) for v in vecs}:
                 at = [k for k, v in enumerate(vecs) if len(v) == size]
                 for s in range(0, len(at), 1024):
                     part = at[s : s + 1024]
-                    for k, row in zip(part, bucket_keys(_unit([vecs[k] for k in part]), tables, hashes)):
-                        keys[k] = row.tobytes()
-            longs = [np.frombuffer(k, np.int64) for k in keys]
+                    found = bucket_keys(_unit([vecs[k] for k in part], kind), tables, hashes)
+                    if key_kind != "<i8":
+                        found = found + (np.int64(size) << 32)
+                    for k, row in zip(part, found):
+                        keys[k], longs[k] = row.astype(key_kind).tobytes(), row
             yield pa.record_batch([batch.column(1), batch.column(2), batch.column(0), pa.array(keys, pa.binary()), pa.array(longs, pa.list_(pa.int64()))], ["rep", "weight", "vec", "keys", "buckets"])
 
     hashed = settle(classes.select("vec", "rep", "weight").mapInArrow(hash_all, "rep bigint, weight bigint, vec binary, keys binary, buckets array<bigint>"), "hashed")
-    met = hashed.select("rep", F.posexplode("buckets").alias("pos", "key")).withColumn("table", F.floor(F.col("pos") / PROBES).cast("int"))
-    shared = met.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("pos") % PROBES).alias("home")).where("n > 1 and home = 0").select("table", "key", "n")
-    placed = met.select("table", "key", "rep").join(shared, ["table", "key"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("rep", "table"), F.col("blocks")).cast("int"))
+    met = settle(hashed.select("rep", F.posexplode("buckets").alias("pos", "key")).select("rep", "key", F.floor(F.col("pos") / PROBES).cast("int").alias("table"), (F.col("pos") % PROBES).alias("probe")), "met")
+    shared = settle(met.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n"), F.min("probe").alias("home")).where("n > 1 and home = 0").select("table", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "shared")
+    placed = salted_join(met.select("table", "key", "rep"), shared, ["table", "key"]).withColumn("mine", F.pmod(F.xxhash64("rep", "table"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("table", "key", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"), "mine", "rep")
     full = dealt.join(hashed.select("rep", "weight", "vec", "keys"), "rep")
-    found = settle(full.groupBy("table", "key", "i", "j").applyInPandas(_compare(threshold, tables), "rep bigint, other bigint, links bigint"), "links")
+    group = ["table", "key", "i", "j"]
+    compare = _Comparer(threshold, tables, kind, key_kind)
+    ordered = full.select(*group, "mine", "rep", "weight", "vec", "keys").repartition(*group).sortWithinPartitions(*group)
+    found = settle(ordered.mapInArrow(compare.run, "rep bigint, other bigint, links bigint"), "links")
     degree = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.where("rep <> other"), "rep", "other").toDF("rep", "comp")
-    of = classes.join(degree, "rep", "left").join(joined, "rep", "left").select("vec", "rep", "weight", "links", "comp")
-    out = every.join(of, "vec", "left").withColumn("component_id", F.when(F.col("vec_id").isNotNull(), F.coalesce("comp", "rep", "vec_id")))
-    linked = F.col("vec_id").isNotNull() & F.col("rep").isNotNull()
-    out = out.withColumn("n_links", F.when(linked, F.coalesce("links", F.lit(0)) + F.col("weight") - 1).otherwise(F.lit(0)).cast("bigint"))
-    discard(hashed)
-    return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    of = settle(classes.join(degree, "rep", "left").join(joined, "rep", "left").select("vec", F.coalesce("comp", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("bigint").alias("n_links")), "of")
+    out = salted_join(linked, of, ["vec"]).select("vec_id", "n_links", "component_id")
+    alone = every.where("vec is null or vec_id is null").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = settle(out.union(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept")), "near")
+    for t in (every, classes, hashed, met, shared, found, joined, of):
+        discard(t)
+    return out
