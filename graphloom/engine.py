@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,11 +15,13 @@ from graphloom.operators import filters, output, scan
 from graphloom.plans import order as orders
 from graphloom.plans import planner, pruning
 from graphloom.plans.pattern import Pattern
-from graphloom.work import settle
+from graphloom.work import discard, settle
 
 PRUNING = ("none", "ldf", "nlf", "cfl", "daf", "gql", "tso")
-#: Members of a set at most; beyond, vertices stay keys.
-SET_LIMIT = 1_000_000
+#: Neighbours of one label from which sets are dealt over parts, about as many members to a part.
+SET_SIZE = 1_000_000
+#: Shares of the root's candidates, of 64, that a count with a limit looks at one after another.
+SHARES = (1, 8, 64)
 
 
 @dataclass
@@ -32,7 +35,7 @@ class Config:
 
     @classmethod
     def parse(cls, text: str) -> "Config":
-        """``cps=cfl,mo=1 2 3 4,cs=dynamic,limit=100000`` or the long names; limit 0 is none."""
+        """Settings as name=value, comma-separated, by short or long names: ``cps=gql, mo=2 0 1, cs=eager, limit=25``; limit 0 is none."""
         out = cls()
         for part in filter(None, (x.strip() for x in text.split(","))):
             name, eq, value = part.partition("=")
@@ -70,6 +73,8 @@ class Query:
         self._cand: dict[int, DataFrame] | None = None
         self._sizes: list[int] | None = None
         self._plan: planner.Plan | None = None
+        #: Vertices that are to be keys from their level on.
+        self._forced: list[int] = []
         self._edges: dict[tuple[int, int], DataFrame] = {}
         self._adjacent: dict[tuple[int, int], DataFrame] = {}
 
@@ -104,13 +109,20 @@ class Query:
             self._sizes = self._count(first)
             cand = {v: first.where(F.col("qv") == v).select("id") for v in range(p.n)}
             sequence = self._sequence(self._sizes)
+            made, steps = [first], [0] * p.n
             for v, pivots in sequence:
-                # written out, as later filters read it several times: plans would grow with their product
-                cand[v] = settle(filters.matching(g, p, cand, v) if pivots is None else filters.neighbourhood(g, p, cand, v, pivots))
+                cand[v] = filters.matching(g, p, cand, v) if pivots is None else filters.neighbourhood(g, p, cand, v, pivots)
+                steps[v] = 1 + max([steps[v], *(steps[w] for w in (p.adj[v] if pivots is None else pivots))])
+                if pivots is None or steps[v] > 1:
+                    # written out, as later filters read it several times: plans would grow with their product
+                    cand[v], steps[v] = settle(cand[v]), 0
+                    made.append(cand[v])
             if sequence:
                 table = settle(self._table(cand))
                 self._sizes = self._count(table)
                 cand = {v: table.where(F.col("qv") == v).select("id") for v in range(p.n)}
+                for old in made:
+                    discard(old)
             self._cand = cand
         return self._cand
 
@@ -133,11 +145,13 @@ class Query:
 
     # plan -----------------------------------------------------------------------------------------
 
-    def _largest_sets(self) -> int:
-        """Most neighbours of one label, over the label pairs of the pattern's edges."""
+    @cached_property
+    def parts(self) -> int:
+        """Parts that sets are dealt over: by the most neighbours of one label, over the label pairs of the pattern's edges."""
         pairs = {(self.p.labels[a], self.p.labels[b]) for a, b in self.p.edges} | {(self.p.labels[b], self.p.labels[a]) for a, b in self.p.edges}
         wanted = F.struct("src_label", "nlabel").isin([F.struct(F.lit(a), F.lit(b)) for a, b in sorted(pairs)])
-        return self.graph.neighbour_labels.where(wanted).agg(F.max("n")).first()[0] or 0
+        most = self.graph.neighbour_labels.where(wanted).agg(F.max("n")).first()[0] or 0
+        return -(-most // SET_SIZE) or 1
 
     @property
     def plan(self) -> planner.Plan:
@@ -145,11 +159,9 @@ class Query:
             p, sizes, kind = self.p, self.sizes, self.config.compression
             among = None if kind == "none" or not p.edges else planner.smallest(planner.covers(p, sizes))
             order = orders.checked_order(p, self.config.order) if self.config.order else orders.matching_order(p, sizes, among)
-            if kind not in ("none",) and p.edges and self._largest_sets() > SET_LIMIT:
-                kind = "none"
             if kind == "sample":
                 sizes = self._sampled(order)
-            self._plan = planner.plan(p, order, sizes, kind)
+            self._plan = planner.plan(p, order, sizes, kind, self._forced)
         return self._plan
 
     def _sampled(self, order: list[int], seeds: int = 5000) -> list[int]:
@@ -176,39 +188,104 @@ class Query:
 
     def adjacent(self, a: int, b: int) -> DataFrame:
         if (a, b) not in self._adjacent:
-            self._adjacent[a, b] = X.adjacency(self.edges(a, b))
+            self._adjacent[a, b] = X.adjacency(self.edges(a, b), self.parts)
         return self._adjacent[a, b]
 
     def _apply(self, rel: DataFrame, step: planner.Step) -> DataFrame:
         label = self.p.labels
         same = lambda v, r: [int(c[2:]) for c in X.keys_of(r) if label[int(c[2:])] == label[v] and int(c[2:]) != v]
+        sets = lambda v, r: [int(c[2:]) for c in X.sets_of(r) if label[int(c[2:])] == label[v] and int(c[2:]) != v]
         for v in step.promote:
             rel = X.promote(rel, v, same(v, rel))
+            rel = X.prune_sets(rel, v, sets(v, rel))
         t, kp, sp = step.vertex, step.key_parents, step.set_parents
         if step.kind == "set":
-            return X.keys_to_set(rel, kp, t, {p: self.adjacent(p, t) for p in kp}, same(t, rel))
+            rel = X.keys_to_set(rel, kp, t, {p: self.adjacent(p, t) for p in kp}, same(t, rel))
+            return X.set_pruning(rel, [[t, *sets(t, rel)]])
         if kp:
             first = sorted(kp, key=lambda p: self.sizes[p], reverse=True)
             rel = X.keys_to_key(rel, first, t, {p: self.edges(p, t) for p in kp}, same(t, rel))
-            return X.into(rel, t, sp, {p: self.adjacent(t, p) for p in sp}) if sp else rel
-        if len(sp) == 1:
-            return X.set_to_key_by_parent(rel, sp[0], t, self.edges(sp[0], t), same(t, rel))
-        cheap = sorted(sp, key=lambda p: self.sizes[p])
-        return X.sets_to_key(rel, cheap, t, self.edges(cheap[0], t), {p: self.adjacent(t, p) for p in sp}, same(t, rel))
+            rel = X.into(rel, t, sp, {p: self.adjacent(t, p) for p in sp}) if sp else rel
+        elif len(sp) == 1 and step.how == "candidate":
+            rel = X.set_to_key_by_candidate(rel, sp[0], t, self.adjacent(t, sp[0]), same(t, rel))
+        elif len(sp) == 1 and step.how == "parent":
+            rel = X.set_to_key_by_parent(rel, sp[0], t, self.edges(sp[0], t), same(t, rel), self.parts)
+        else:
+            cheap = sorted(sp, key=lambda p: self.sizes[p])
+            rel = X.sets_to_key(rel, cheap, t, self.edges(cheap[0], t), {p: self.adjacent(t, p) for p in sp}, same(t, rel))
+        rel = X.prune_sets(rel, t, sets(t, rel))
+        shrunk = {label[v] for v in [t, *sp]}
+        return X.set_pruning(rel, [[v for v in map(int, (c[2:] for c in X.sets_of(rel))) if label[v] == x] for x in sorted(shrunk)])
 
     @property
     def relation(self) -> DataFrame:
         """The compressed matches."""
-        rel = X.root(self.candidates[self.plan.order[0]], self.plan.order[0])
+        return self._relation(None)
+
+    def _relation(self, share: int | None) -> DataFrame:
+        """The compressed matches, of all or of some 64ths of the root's candidates."""
+        cand = self.candidates[self.plan.order[0]]
+        rel = X.root(cand if share is None else cand.where(F.pmod(F.xxhash64("id"), F.lit(64)) < share), self.plan.order[0])
         for step in self.plan.steps[1:]:
             rel = self._apply(rel, step)
         return rel
 
+    def folded(self) -> tuple["Query", dict[int, DataFrame]] | None:
+        """The pattern without its hanging trees, and the weights (id, w) that these leave; None if there is none.
+
+        A vertex with one neighbour whose label no other vertex has never collides with any: its matches are summed up
+        under the neighbour's, from the tips inwards, and need not be listed.
+        """
+        p = self.p
+        live, weights = set(range(p.n)), {}
+        near = {v: set(p.adj[v]) for v in live}
+        while len(live) > 1 and (tips := [v for v in sorted(live) if len(near[v]) == 1 and p.labels.count(p.labels[v]) == 1]):
+            t = tips[-1]
+            (u,) = near[t]
+            edges = self.edges(u, t)
+            w = F.lit(1).cast("bigint")
+            if t in weights:
+                edges, w = edges.join(weights[t].toDF("dst", "w"), "dst"), F.col("w")
+            new = edges.groupBy(F.col("src").alias("id")).agg(F.sum(w).alias("w"))
+            weights[u] = weights[u].join(new.toDF("id", "more"), "id").select("id", (F.col("w") * F.col("more")).alias("w")) if u in weights else new
+            live.discard(t)
+            near[u].discard(t)
+            weights.pop(t, None)
+        if not weights:
+            return None
+        kept = sorted(live, key=lambda v: (v not in weights, v))
+        place = {v: k for k, v in enumerate(kept)}
+        order = [place[v] for v in self.config.order if v in place] if self.config.order else None
+        try:
+            order = order and orders.checked_order(p.induced(kept), order)
+        except ValueError:
+            order = None
+        rest = Query(self.graph, p.induced(kept), Config(self.config.pruning, self.config.compression, order))
+        settled = {place[v]: settle(w) for v, w in weights.items()}
+        # a match needs one of every hanging tree, so the weights' ids are the candidates
+        rest._cand = {place[v]: settled[place[v]].select("id") if place[v] in settled else self.candidates[v] for v in kept}
+        rest._sizes = [rest._cand[k].count() if k in settled else self.sizes[kept[k]] for k in range(len(kept))]
+        rest._forced = sorted(settled)
+        return rest, settled
+
     def count(self) -> DataFrame:
-        """One row ``n``."""
+        """One row ``n``. With a limit, a growing share of the root's candidates is looked at until there are enough."""
+        zero = self.graph.spark.createDataFrame([(0,)], "n bigint")
         if not all(self.sizes):
-            return self.graph.spark.createDataFrame([(0,)], "n bigint")
-        return output.count(self.relation, self.p, self.config.limit)
+            return zero
+        if not self.config.limit:
+            rest = self.folded() if self.config.compression != "none" else None
+            if rest is None:
+                return output.count(self.relation, self.p)
+            q, weights = rest
+            return output.count(q.relation, q.p, weights=weights) if all(q.sizes) else zero
+        for share in SHARES:
+            found = output.count(self._relation(None if share == 64 else share), self.p, self.config.limit)
+            if share < 64:
+                n = found.first()["n"]
+                if n >= self.config.limit:
+                    return self.graph.spark.createDataFrame([(n,)], "n bigint")
+        return found
 
     def rows(self) -> DataFrame:
         """One row per embedding, u0, u1, ... ; without an order, a limit takes any."""
@@ -216,22 +293,29 @@ class Query:
             return self.graph.spark.createDataFrame([], ", ".join(f"u{v} bigint" for v in range(self.p.n)))
         return output.rows(self.relation, self.p, self.plan.order, self.config.limit)
 
+    def write(self, path: str, kind: str = "parquet") -> None:
+        """The embeddings as files, one set for each task."""
+        self.rows().write.format(kind).save(path)
+
     def profile(self) -> list[dict]:
-        """For each step: operator, milliseconds, rows and embeddings of the prefix before and after."""
-        out, before, n_before = [], 0, 0
+        """For each step: operator, milliseconds, rows, embeddings of the prefix before and after, set intersections made for them."""
+        out, before, n_before, last = [], 0, 0, None
         rel = X.root(self.candidates[self.plan.order[0]], self.plan.order[0])
         for k, step in enumerate(self.plan.steps):
             began = time.monotonic()
-            rel = self._apply(rel, step) if k else rel
-            rel = rel.persist()
+            rel = (self._apply(rel, step) if k else rel).persist()
             groups = rel.count()
             ms = int(1000 * (time.monotonic() - began))
+            if last is not None:
+                last.unpersist()
             some = output.limit_sets(rel, self.p)
             n = some.agg(F.coalesce(F.sum(output.per_row(some, self.p)), F.lit(0)).cast("bigint")).first()[0]
             sizes = [F.coalesce(F.sum(F.size(c)), F.lit(0)) for c in X.sets_of(rel)]
             held = rel.agg(*sizes).first() if sizes else []
-            out.append({"step": k, "operator": step.operator, "vertex": step.vertex, "ms": ms, "in_groups": before, "out_groups": groups, "in_subgraphs": n_before, "out_subgraphs": n, "set_members": int(sum(held))})
-            before, n_before = groups, n
+            each = max(0, len(step.key_parents) - 1) + (len(step.set_parents) if step.kind == "key" and step.how != "parent" else 0)
+            out.append({"step": k, "operator": step.operator, "vertex": step.vertex, "ms": ms, "in_groups": before, "out_groups": groups, "in_subgraphs": n_before, "out_subgraphs": n, "set_members": int(sum(held)), "intersections": before * each})
+            before, n_before, last = groups, n, rel
+        last.unpersist()
         return out
 
 

@@ -1,4 +1,4 @@
-"""Set expressions over ascending id arrays, all inside Catalyst."""
+"""Set expressions over ascending id arrays."""
 
 from __future__ import annotations
 
@@ -6,11 +6,15 @@ from functools import reduce
 from itertools import combinations
 from math import factorial
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 #: Same-label sets counted by the closed form; more are turned into keys first.
 MOST_SETS = 5
+#: Sets whose representatives are told by Hall's condition inside Catalyst; for more, paths are searched.
+HALL_SETS = 3
 
 
 def intersect(*sets: Column) -> Column:
@@ -54,7 +58,39 @@ def distinct_tuples(sets: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
+def matched(lists) -> bool:
+    """Whether each list can stand for one of its members, all different: augmenting paths, in polynomial time."""
+    owner: dict = {}
+
+    def place(k: int, tried: set) -> bool:
+        for x in lists[k]:
+            if x not in tried:
+                tried.add(x)
+                if x not in owner or place(owner[x], tried):
+                    owner[x] = k
+                    return True
+        return False
+
+    return all(place(k, set()) for k in sorted(range(len(lists)), key=lambda k: len(lists[k])))
+
+
+@F.pandas_udf(BooleanType())
+def _all_matched(rows: pd.Series) -> pd.Series:
+    return pd.Series([matched([list(x) for x in row]) for row in rows], dtype=bool)
+
+
 def has_representatives(sets: list[Column]) -> Column:
-    """Whether distinct representatives exist (Hall): every few sets hold as many members together."""
-    tests = [F.size(reduce(F.array_union, (sets[k] for k in c))) >= r for r in range(1, len(sets) + 1) for c in combinations(range(len(sets)), r)]
-    return reduce(lambda a, b: a & b, tests) if tests else F.lit(True)
+    """Whether different representatives exist.
+
+    A set with as many members as there are sets always finds one, whatever the others take, so no more than that
+    many members of each are looked at.
+    """
+    n = len(sets)
+    if n < 2:
+        return reduce(lambda a, b: a & b, [F.size(s) > 0 for s in sets], F.lit(True))
+    some = [F.slice(s, 1, n) for s in sets]
+    if n > HALL_SETS:
+        return _all_matched(F.array(*some))
+    plenty = F.least(*(F.size(s) for s in sets)) >= n
+    tests = [F.size(reduce(F.array_union, (some[k] for k in c))) >= r for r in range(1, n + 1) for c in combinations(range(n), r)]
+    return plenty | reduce(lambda a, b: a & b, tests)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +24,8 @@ def neighbourhood(graph: LabeledGraph, p: Pattern, cand: dict[int, DataFrame], v
 def matching(graph: LabeledGraph, p: Pattern, cand: dict[int, DataFrame], v: int) -> DataFrame:
     """Candidates of v whose neighbours can stand for all pattern neighbours at once, all different.
 
-    By Hall's condition within each label. A pattern neighbour with as many choices as v has
-    neighbours never fails a test, so only shorter lists of choices are collected.
+    Label by label, as choices of different labels cannot collide. A pattern neighbour with as many choices as
+    there are neighbours of the label never fails, so only shorter lists of choices are collected.
     """
     out = cand[v]
     by_label: dict[int, list[int]] = {}
@@ -34,7 +33,8 @@ def matching(graph: LabeledGraph, p: Pattern, cand: dict[int, DataFrame], v: int
         by_label.setdefault(p.labels[w], []).append(w)
     for label, group in by_label.items():
         edges = graph.edges.where((F.col("src_label") == p.labels[v]) & (F.col("dst_label") == label)).select(F.col("src").alias("v"), F.col("dst").alias("id")).join(out.toDF("v"), "v", "left_semi")
-        choices = reduce(DataFrame.union, [edges.join(cand[w], "id", "left_semi").select(F.col("v").alias("id"), F.lit(w).alias("w"), F.col("id").alias("x")) for w in group])
+        members = reduce(DataFrame.union, [cand[w].select("id", F.lit(w).alias("w")) for w in group])
+        choices = edges.join(members, "id").select(F.col("v").alias("id"), "w", F.col("id").alias("x"))
         counts = choices.groupBy("id").agg(*[F.count(F.when(F.col("w") == w, 1)).alias(f"n{w}") for w in group])
         counts = counts.where(reduce(lambda a, b: a & b, [F.col(f"n{w}") > 0 for w in group]))
         n = len(group)
@@ -42,19 +42,9 @@ def matching(graph: LabeledGraph, p: Pattern, cand: dict[int, DataFrame], v: int
             few = counts.where(reduce(lambda a, b: a | b, [F.col(f"n{w}") < n for w in group]))
             short = reduce(lambda a, b: a | b, [(F.col("w") == w) & (F.col(f"n{w}") < n) for w in group])
             lists = choices.join(few, "id").where(short).groupBy("id").agg(*[F.sort_array(F.collect_list(F.when(F.col("w") == w, F.col("x")))).alias(f"a{w}") for w in group])
-            tests = [F.lit(True)]
-            for r in range(1, n + 1):
-                for c in combinations(group, r):
-                    whole = reduce(lambda a, b: a & b, [F.size(f"a{w}") > 0 for w in c])
-                    tests.append(~whole | (F.size(reduce(F.array_union, [F.col(f"a{w}") for w in c])) >= r))
-            bad = lists.where(~reduce(lambda a, b: a & b, tests)).select("id")
+            # a list that was too long to be collected is empty here: n members that none else has stand for it
+            own = [F.when(F.size(f"a{w}") > 0, F.col(f"a{w}")).otherwise(F.array(*[F.lit(-1 - n * k - j).cast("bigint") for j in range(n)])) for k, w in enumerate(group)]
+            bad = lists.where(~has_representatives(own)).select("id")
             counts = counts.select("id").join(bad, "id", "left_anti")
         out = out.join(counts.select("id"), "id", "left_semi")
     return out
-
-
-def set_pruning(rel: DataFrame, groups: list[list[str]]) -> DataFrame:
-    """Rows whose same-label sets have distinct representatives, group by group."""
-    for names in groups:
-        rel = rel.where(has_representatives([F.col(n) for n in names]))
-    return rel

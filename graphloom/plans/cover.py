@@ -1,63 +1,93 @@
-"""Minimum vertex covers of the pattern, unweighted and weighted; all optima."""
+"""Minimum vertex covers of the pattern, unweighted and weighted; all optima.
+
+What a cover leaves out is an independent set, so the heaviest independent sets are looked for: a
+recursion over bit masks of undecided vertices that remembers every mask it has solved, part by
+connected part.
+"""
 
 from __future__ import annotations
 
-import time
-from itertools import combinations
+from itertools import islice, product
 
+from graphloom.plans.pattern import Pattern
 
-def minimum_covers(n: int, edges, weights=None, required=(), cutoff: float = 10.0) -> tuple[float, list[frozenset[int]]]:
-    """(least weight, all covers of that weight). ``required`` vertices are in every cover, for free.
 
-    Depth-first over the undecided vertex with the most open edges, leaving it out first. A branch
-    is cut by a lower bound: edges priced one after another, each by the smaller rest of its ends'
-    weights, can only be paid for by covering vertices. Beyond ``cutoff`` seconds the best so far returns.
-    """
-    w = [1.0] * n if weights is None else [float(x) for x in weights]
-    fixed = frozenset(required)
-    open_edges = [(a, b) for a, b in edges if a not in fixed and b not in fixed]
-    near: dict[int, set[int]] = {}
-    for a, b in open_edges:
-        near.setdefault(a, set()).add(b)
-        near.setdefault(b, set()).add(a)
-    best, found, until, eps = sum(w[v] for v in near), [frozenset(near)], time.monotonic() + cutoff, 1e-9
-
-    def bound(graph: dict[int, set[int]]) -> float:
-        rest, total = {v: w[v] for v in graph}, 0.0
-        for a in graph:
-            for b in graph[a]:
-                if a < b:
-                    p = min(rest[a], rest[b])
-                    rest[a] -= p
-                    rest[b] -= p
-                    total += p
-        return total
-
-    def without(graph: dict[int, set[int]], gone) -> dict[int, set[int]]:
-        out = {}
-        for v, ns in graph.items():
-            if v not in gone and (left := ns - gone):
-                out[v] = left
+def _bits(mask: int):
+    while mask:
+        low = mask & -mask
+        yield low.bit_length() - 1
+        mask ^= low
+
+
+class _Independent:
+    """Heaviest independent sets within a mask of vertices."""
+
+    def __init__(self, near: list[int], weights: list[float]):
+        self.near, self.weights, self.known = near, weights, {0: 0.0}
+
+    def parts(self, mask: int) -> list[int]:
+        out = []
+        while mask:
+            part = todo = mask & -mask
+            while todo:
+                grown = 0
+                for v in _bits(todo):
+                    grown |= self.near[v]
+                todo = grown & mask & ~part
+                part |= todo
+            out.append(part)
+            mask &= ~part
         return out
 
-    def search(graph: dict[int, set[int]], taken: frozenset[int], cost: float) -> None:
-        nonlocal best, found
-        if not graph:
-            if cost < best - eps:
-                best, found = cost, [taken]
-            elif cost <= best + eps:
-                found.append(taken)
+    def split(self, mask: int) -> tuple[int, int, int]:
+        """The vertex to decide, and what stays undecided if it is taken or left."""
+        v = max(_bits(mask), key=lambda u: ((self.near[u] & mask).bit_count(), -u))
+        return v, mask & ~self.near[v] & ~(1 << v), mask & ~(1 << v)
+
+    def weight(self, mask: int) -> float:
+        if mask not in self.known:
+            parts = self.parts(mask)
+            if len(parts) > 1:
+                self.known[mask] = sum(map(self.weight, parts))
+            else:
+                v, taken, left = self.split(mask)
+                self.known[mask] = max(self.weights[v] + self.weight(taken), self.weight(left))
+        return self.known[mask]
+
+    def sets(self, mask: int):
+        """All heaviest sets, one after another."""
+        if not mask:
+            yield 0
             return
-        if cost + bound(graph) > best + eps or time.monotonic() > until:
+        parts = self.parts(mask)
+        if len(parts) > 1:
+            for found in product(*(list(islice(self.sets(p), 64)) for p in parts)):
+                yield sum(found)
             return
-        v = max(graph, key=lambda u: (len(graph[u]) / (w[u] + 1), -u))
-        out = frozenset(graph[v])
-        search(without(graph, out | {v}), taken | out, cost + sum(w[u] for u in out))
-        search(without(graph, {v}), taken | {v}, cost + w[v])
+        v, taken, left = self.split(mask)
+        best, eps = self.weight(mask), 1e-9
+        if self.weights[v] + self.weight(taken) >= best - eps:
+            for s in self.sets(taken):
+                yield s | 1 << v
+        if self.weight(left) >= best - eps:
+            yield from self.sets(left)
+
 
-    search(near, frozenset(), 0.0)
-    covers = sorted({c for c in found if abs(sum(w[v] for v in c) - best) <= eps}, key=sorted)
-    return best, [c | fixed for c in covers]
+def minimum_covers(n: int, edges, weights=None, required=(), most: int = 64) -> tuple[float, list[frozenset[int]]]:
+    """(least weight, the covers of that weight). ``required`` vertices are in every cover, for free.
+
+    Ties multiply with a pattern's symmetry; ``most`` of them are returned.
+    """
+    w = [1.0] * n if weights is None else [float(x) for x in weights]
+    fixed, near = frozenset(required), [0] * n
+    for a, b in edges:
+        if a not in fixed and b not in fixed:
+            near[a] |= 1 << b
+            near[b] |= 1 << a
+    live = sum(1 << v for v in range(n) if near[v])
+    independent = _Independent(near, w)
+    covers = {frozenset(_bits(live & ~s)) | fixed for s in islice(independent.sets(live), most)}
+    return sum(w[v] for v in _bits(live)) - independent.weight(live), sorted(covers, key=sorted)
 
 
 def smallest(covers: list[frozenset[int]]) -> frozenset[int]:
@@ -69,7 +99,5 @@ def is_cover(cover, edges) -> bool:
     return all(a in cover or b in cover for a, b in edges)
 
 
-def every_cover(vertices, edges) -> list[frozenset[int]]:
-    """All vertex covers of a small graph."""
-    vertices = list(vertices)
-    return [frozenset(c) for k in range(len(vertices) + 1) for c in combinations(vertices, k) if is_cover(set(c), edges)]
+def prefix_edges(p: Pattern, prefix) -> list[tuple[int, int]]:
+    return [(a, b) for a, b in p.edges if a in prefix and b in prefix]

@@ -16,9 +16,11 @@ SPAN = 1_000_000_000_000
 def copurchase(spark: SparkSession, sf_dir: str) -> LabeledGraph:
     """Parts, labelled by brand number; an edge joins two parts of one order."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int").alias("label"))
-    x = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey").distinct()
-    pairs = x.alias("a").join(x.alias("b"), F.col("a.l_orderkey") == F.col("b.l_orderkey")).where("a.l_partkey < b.l_partkey").select(F.col("a.l_partkey").alias("src"), F.col("b.l_partkey").alias("dst"))
-    return LabeledGraph.from_tables(part, pairs)
+    # labels go along, so that the pairs need not be joined with the parts again
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").cast("bigint").alias("id")).distinct()
+    x = line.join(part.withColumn("id", F.col("id").cast("bigint")), "id")
+    pairs = x.toDF("src", "o", "src_label").join(x.toDF("dst", "o", "dst_label"), "o").where("src < dst").select("src", "dst", "src_label", "dst_label").distinct()
+    return LabeledGraph.from_labelled(part.withColumn("id", F.col("id").cast("bigint")), pairs)
 
 
 def entities(spark: SparkSession, sf_dir: str) -> LabeledGraph:
@@ -39,8 +41,14 @@ _loaded: dict = {}
 
 
 def graph(spark: SparkSession, sf_dir: str, name: str = "P") -> LabeledGraph:
-    """The derived graph, persisted once per session and folder."""
+    """The derived graph, persisted once per session and folder until ``forget``."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _loaded:
         _loaded[key] = {"P": copurchase, "H": entities}[name](spark, sf_dir).persist()
     return _loaded[key]
+
+
+def forget(spark: SparkSession) -> None:
+    """Drop the session's derived graphs from memory."""
+    for key in [k for k in _loaded if k[0] == spark.sparkContext.applicationId]:
+        _loaded.pop(key).unpersist()

@@ -58,6 +58,9 @@ def load(spark: SparkSession, path: str) -> LabeledGraph:
     return LabeledGraph(spark.read.parquet(f"{path}/vertices"), spark.read.parquet(f"{path}/edges"))
 
 
-def convert(spark: SparkSession, path: str, out: str) -> None:
-    """Text to Parquet."""
-    save(read_text(spark, path), out)
+def convert(spark: SparkSession, path: str, out: str, parts: int | None = None, by_degree: bool = True, rounds: int = 2) -> None:
+    """Text to Parquet. With ``parts``, vertices are also dealt over so many parts, a folder each, by label and falling degree."""
+    graph = read_text(spark, path)
+    save(graph, out)
+    if parts:
+        graph.partitioned(parts, by_degree, rounds).write.partitionBy("part").parquet(f"{out}/parts")

@@ -21,4 +21,14 @@ def work_dir(spark: SparkSession) -> str:
 def settle(df: DataFrame) -> DataFrame:
     path = f"{work_dir(df.sparkSession)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a settled table once nothing reads it any more."""
+    path, spark = getattr(df, "_settled_path", None), df.sparkSession
+    if path:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -6,8 +6,9 @@ from itertools import combinations, permutations
 import pytest
 
 from graphloom.engine import Config, Query, count
-from graphloom.functions.sets import partitions
+from graphloom.functions.sets import has_representatives, matched, partitions
 from graphloom.graph import LabeledGraph
+from graphloom.operators import output
 from graphloom.plans.pattern import Pattern
 from graphloom.sources import text
 
@@ -59,6 +60,81 @@ def test_random_graphs_by_every_strategy(spark):
         assert steps[-1]["out_subgraphs"] == len(want) and len(steps) == p.n
 
 
+def test_hubs_are_dealt_over_parts(spark, monkeypatch):
+    monkeypatch.setattr("graphloom.engine.SET_SIZE", 2)
+    rng = random.Random(15)
+    labels = [rng.randrange(2) for _ in range(11)]
+    edges = [e for e in combinations(range(11), 2) if rng.random() < 0.6]
+    g = _graph(spark, labels, edges)
+    for p in (Pattern([0, 1, 1, 0], [(0, 1), (0, 2), (1, 3), (2, 3)]), Pattern([0, 1, 1, 1], [(0, 1), (0, 2), (0, 3)]), Pattern([1, 0, 1, 0, 0], [(0, 1), (1, 2), (2, 3), (0, 3), (2, 4)])):
+        want = set(_brute(labels, edges, p))
+        for how in ("static", "eager", "dynamic"):
+            q = Query(g, p, Config(pruning="ldf", compression=how))
+            assert q.parts > 1 and q.count().first()["n"] == len(want)
+            assert {tuple(r[f"u{v}"] for v in range(p.n)) for r in q.rows().collect()} == want
+
+
+def test_hanging_trees_are_summed_up(spark):
+    rng = random.Random(16)
+    labels = [k % 6 for k in range(18)]
+    edges = [e for e in combinations(range(18), 2) if rng.random() < 0.35]
+    g = _graph(spark, labels, edges)
+    tree = Pattern([0, 1, 2, 3, 4], [(0, 1), (1, 2), (1, 3), (0, 4)])
+    tailed = Pattern([0, 0, 1, 2, 3], [(0, 1), (1, 2), (0, 2), (2, 3), (3, 4)])
+    shared = Pattern([0, 1, 1, 2], [(0, 1), (0, 2), (2, 3)])
+    for p in (tree, tailed, shared):
+        for how in ("static", "dynamic"):
+            q = Query(g, p, Config(pruning="ldf", compression=how))
+            assert q.count().first()["n"] == len(_brute(labels, edges, p))
+    assert Query(g, tree, Config(pruning="ldf")).folded()[0].p.n == 1
+    assert Query(g, tailed, Config(pruning="ldf")).folded()[0].p.n == 3
+    assert Query(g, Pattern([0] * 3, [(0, 1), (1, 2)]), Config(pruning="ldf")).folded() is None
+
+
+def test_representatives():
+    rng = random.Random(17)
+    for _ in range(300):
+        lists = [rng.sample(range(6), rng.randrange(0, 5)) for _ in range(rng.randrange(1, 6))]
+        hall = all(len(set().union(*c)) >= r for r in range(1, len(lists) + 1) for c in combinations(lists, r))
+        assert matched(lists) == hall
+    assert not matched([[1, 2, 3]] * 20 + [[9]])
+
+
+def test_representatives_of_columns(spark):
+    rng = random.Random(18)
+    for n in (2, 3, 5):
+        rows = [tuple(sorted(rng.sample(range(7), rng.randrange(1, 5))) for _ in range(n)) for _ in range(40)]
+        table = spark.createDataFrame(rows, ", ".join(f"s{k} array<bigint>" for k in range(n)))
+        got = table.withColumn("ok", has_representatives([table[f"s{k}"] for k in range(n)])).collect()
+        assert [r["ok"] for r in got] == [matched([list(x) for x in r[:n]]) for r in got]
+
+
+def test_large_stars_are_filtered_by_matching(spark):
+    labels, edges = [1] + [0] * 12, [(0, i) for i in range(1, 13)]
+    star = Pattern([1] + [0] * 12, [(0, i) for i in range(1, 13)])
+    assert Query(_graph(spark, labels, edges), star, Config(pruning="gql")).sizes[0] == 1
+    assert Query(_graph(spark, labels[:-1], edges[:-1]), star, Config(pruning="gql")).sizes[0] == 0
+
+
+def test_limits(spark):
+    g, star = _graph(spark, [0] * 9, GRID), Pattern([0] * 3, [(0, 1), (1, 2)])
+    for limit, want in ((1, 1), (43, 43), (44, 44), (1000, 44)):
+        assert count(g, star, Config(pruning="ldf", compression="static", limit=limit)) == want
+        assert Query(g, star, Config(pruning="ldf", limit=limit)).rows().count() == want
+
+
+def test_rows_are_written_and_described(spark, tmp_path):
+    g, tri = _graph(spark, [0] * 5, K5), Pattern([0] * 3, [(0, 1), (1, 2), (0, 2)])
+    q = Query(g, tri, Config(pruning="ldf", compression="static"))
+    q.write(str(tmp_path / "rows"))
+    assert spark.read.parquet(str(tmp_path / "rows")).count() == 60
+    texts = [r["value"] for r in output.described(q.relation).collect()]
+    assert len(texts) == q.relation.count() and all(t.count(":") == 3 for t in texts)
+    assert "set" in q.explain() and q.explain().startswith("pruning ldf")
+    every = q.relation.agg({"k_0": "count"}).first()[0]
+    assert output.existing(q.relation, tri).count() == every
+
+
 def test_more_sets_than_the_closed_form_takes(spark):
     labels, edges = [1] + [0] * 8, [(0, i) for i in range(1, 9)]
     star = Pattern([1] + [0] * 7, [(0, i) for i in range(1, 8)])
@@ -96,7 +172,7 @@ def test_parts(spark):
     g = _graph(spark, [0] * 9, GRID)
     cut = g.edge_cut(4).first()
     assert cut["edges"] == 12 and 0 <= cut["cut"] <= 12
-    assert sum(g.label_range(0, part, 4).count() for part in range(4)) == 9
+    assert sum(g.label_range(0, part, 4).count() for part in range(4)) == 9 == g.parts(4, 2).count()
     assert g.summary().first()["n_edges"] == 12
 
 

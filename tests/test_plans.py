@@ -1,7 +1,9 @@
 """Driver-side planning: covers, orders, filter sequences, configuration."""
 
 import random
+import time
 from itertools import combinations
+from math import prod
 
 import pytest
 
@@ -22,7 +24,7 @@ def test_all_minimum_covers_match_brute_force():
     for _ in range(60):
         p = _random_pattern(rng, rng.randrange(2, 9))
         weights = [rng.choice([1, 1, 2, 3]) for _ in range(p.n)]
-        every = cover.every_cover(range(p.n), p.edges)
+        every = [frozenset(c) for k in range(p.n + 1) for c in combinations(range(p.n), k) if cover.is_cover(c, p.edges)]
         least = min(sum(weights[v] for v in c) for c in every)
         best, found = cover.minimum_covers(p.n, p.edges, weights)
         assert best == pytest.approx(least)
@@ -48,6 +50,43 @@ def test_plans_keep_their_rules():
                 assert k == 0 or made.keys(k - 1) <= made.keys(k)
 
 
+def test_large_patterns_are_planned_in_time():
+    rng = random.Random(4)
+    shapes = [Pattern([k % 3 for k in range(32)], [(k, k + 1) for k in range(31)]), Pattern([0] * 32, [(0, k) for k in range(1, 32)]), Pattern([k % 2 for k in range(16)], [(k, (k - 1) // 2) for k in range(1, 16)]), _random_pattern(rng, 24), Pattern([0] * 12, list(combinations(range(12), 2)))]
+    for p in shapes:
+        sizes = [rng.randrange(5, 5000) for _ in range(p.n)]
+        o = order.matching_order(p, sizes)
+        costs = {}
+        for strategy in ("static", "eager", "dynamic"):
+            began = time.monotonic()
+            made = planner.plan(p, o, sizes, strategy)
+            assert time.monotonic() - began < 1.5
+            costs[strategy] = planner._cost(p, o, made.key_at, sizes)
+            for k in range(p.n):
+                assert cover.is_cover(made.keys(k), cover.prefix_edges(p, set(o[: k + 1])))
+        assert costs["dynamic"] <= 1.001 * min(costs.values())
+
+
+def test_dynamic_covers_are_the_cheapest_chains():
+    rng = random.Random(6)
+    for _ in range(25):
+        p = _random_pattern(rng, rng.randrange(3, 7))
+        sizes = [rng.randrange(2, 400) for _ in range(p.n)]
+        o = order.matching_order(p, sizes)
+        size = lambda c: prod(sizes[v] for v in c)
+        best = {frozenset({o[0]}): size({o[0]})}
+        for k in range(1, p.n):
+            prefix = o[: k + 1]
+            every = [frozenset({o[0], *c}) for r in range(k + 1) for c in combinations(prefix[1:], r) if cover.is_cover({o[0], *c}, cover.prefix_edges(p, set(prefix)))]
+            best = {c: min(x for b, x in best.items() if b <= c) + (size(c) if k < p.n - 1 else 0) for c in every if any(b <= c for b in best)}
+        made = planner.plan(p, o, sizes, "dynamic")
+        assert planner._cost(p, o, made.key_at, sizes) == pytest.approx(min(best.values()))
+
+
+def test_sides_of_a_set():
+    assert [planner.side(a, b) for a, b in ((800, 100), (100, 50), (100, 90))] == ["candidate", "extension", "parent"]
+
+
 def test_core_numbers_and_induced_subgraph():
     p = Pattern([0] * 5, [(0, 1), (1, 2), (0, 2), (2, 3), (3, 4)])
     assert p.core_numbers() == [2, 2, 2, 1, 1]
@@ -63,8 +102,9 @@ def test_sequences_filter_by_neighbours_only():
 
 
 def test_configuration():
-    c = Config.parse("cps=cfl,mo=1 2 3 4,cs=dynamic,limit=100000")
-    assert (c.pruning, c.order, c.compression, c.limit) == ("cfl", [1, 2, 3, 4], "dynamic", 100000)
+    c = Config.parse("candidate_pruning_strategy=gql, mo=2 0 1, cs=eager, limit=25")
+    assert (c.pruning, c.order, c.compression, c.limit) == ("gql", [2, 0, 1], "eager", 25)
+    assert Config.parse("limit=0").limit is None
     for bad in ("cps=best", "cs=zip", "cps", "speed=9"):
         with pytest.raises(ValueError):
             Config.parse(bad)
