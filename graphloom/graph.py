@@ -14,7 +14,7 @@ class LabeledGraph:
     """``vertices(id, label, degree)`` and ``edges(src, dst, src_label, dst_label)``, each edge in both directions."""
 
     def __init__(self, vertices: DataFrame, edges: DataFrame):
-        self.vertices, self.edges = vertices, edges
+        self.vertices, self.edges, self._kept = vertices, edges, False
 
     @classmethod
     def from_tables(cls, vertices: DataFrame, pairs: DataFrame) -> "LabeledGraph":
@@ -35,13 +35,17 @@ class LabeledGraph:
         return cls(held, edges)
 
     def persist(self) -> "LabeledGraph":
+        """Keep both tables, the edges dealt by ``src`` so that expansions and groupings by it need no shuffle of them."""
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.edges = self.edges.repartition(n, "src").persist()
         self.vertices.persist()
-        self.edges.persist()
+        self._kept = True
         return self
 
     def unpersist(self) -> "LabeledGraph":
-        self.vertices.unpersist()
-        self.edges.unpersist()
+        for table in (self.vertices, self.edges, *(self.__dict__.get(x) for x in ("neighbour_labels", "neighbour_degree"))):
+            if table is not None:
+                table.unpersist()
         return self
 
     @property
@@ -69,12 +73,15 @@ class LabeledGraph:
     @cached_property
     def neighbour_labels(self) -> DataFrame:
         """(src, src_label, nlabel, n): how many neighbours of each label."""
-        return self.edges.groupBy("src", "src_label", F.col("dst_label").alias("nlabel")).agg(F.count(F.lit(1)).alias("n"))
+        return self._keep(self.edges.groupBy("src", "src_label", F.col("dst_label").alias("nlabel")).agg(F.count(F.lit(1)).alias("n")))
+
+    def _keep(self, table: DataFrame) -> DataFrame:
+        return table.persist() if self._kept else table
 
     @cached_property
     def neighbour_degree(self) -> DataFrame:
         """(src, mnd): the largest degree among the neighbours."""
-        return self.edges.join(self.vertices.select(F.col("id").alias("dst"), "degree"), "dst").groupBy("src").agg(F.max("degree").alias("mnd"))
+        return self._keep(self.edges.join(self.vertices.select(F.col("id").alias("dst"), "degree"), "dst").groupBy("src").agg(F.max("degree").alias("mnd")))
 
     def summary(self) -> DataFrame:
         """One row: vertices, edges, largest degree, labels, largest label frequency."""
