@@ -183,7 +183,9 @@ class Query:
     def edges(self, a: int, b: int) -> DataFrame:
         if (a, b) not in self._edges:
             of = self.graph.edges.where((F.col("src_label") == self.p.labels[a]) & (F.col("dst_label") == self.p.labels[b])).select("src", "dst")
-            self._edges[a, b] = X.candidate_edges(of, self.candidates[a], self.candidates[b])
+            # where no filter has taken a vertex of the label away, the label says it all
+            some = [self.candidates[v] if self.sizes[v] < self.graph.frequencies.get(self.p.labels[v], 0) else None for v in (a, b)]
+            self._edges[a, b] = X.candidate_edges(of, *some)
         return self._edges[a, b]
 
     def adjacent(self, a: int, b: int) -> DataFrame:

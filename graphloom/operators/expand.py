@@ -55,9 +55,13 @@ def adjacency(edges: DataFrame, parts: int = 1) -> DataFrame:
     return edges.groupBy("src", part_of("dst", parts).alias("part")).agg(F.sort_array(F.collect_list("dst")).alias("nbrs"))
 
 
-def candidate_edges(edges: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """The auxiliary index of a pattern edge: data edges between the candidates of its ends."""
-    return edges.join(left.select(F.col("id").alias("src")), "src", "left_semi").join(right.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+def candidate_edges(edges: DataFrame, left: DataFrame | None, right: DataFrame | None) -> DataFrame:
+    """The auxiliary index of a pattern edge: data edges between the candidates of its ends; None where any end will do."""
+    if left is not None:
+        edges = edges.join(left.select(F.col("id").alias("src")), "src", "left_semi")
+    if right is not None:
+        edges = edges.join(right.select(F.col("id").alias("dst")), "dst", "left_semi")
+    return edges.select("src", "dst")
 
 
 def root(cand: DataFrame, v: int) -> DataFrame:

@@ -388,6 +388,19 @@ def _starts(spark, sf_dir):
     return spark.createDataFrame(rows, "pattern string, kind string, vertex int")
 
 
+_query(
+    "matching_order_by_size",
+    f"""{_START.replace('WITH ', 'WITH RECURSIVE ', 1)}, r(pattern, k, seen) AS (SELECT pattern, 1, [arg_min(v, (n / deg, v))] FROM size GROUP BY 1
+UNION ALL SELECT r.pattern, any_value(k) + 1, list_append(any_value(seen), arg_min(v, ((core <= 1)::INT, n, v))) FROM r JOIN size s ON s.pattern = r.pattern
+WHERE NOT list_contains(seen, v) AND EXISTS (SELECT 1 FROM pe WHERE pe.pattern = r.pattern AND (a = v AND list_contains(seen, b) OR b = v AND list_contains(seen, a))) GROUP BY r.pattern)
+SELECT pattern, array_to_string(arg_max(seen, k), ' ') AS matching_order FROM r GROUP BY 1""",
+)(lambda s, d: s.createDataFrame([(name, " ".join(map(str, orders.matching_order(p, Query(graph(s, d), p, Config(pruning="ldf")).sizes)))) for name, p in PATTERNS.items()], "pattern string, matching_order string"))
+_query(
+    "static_covers",
+    f"""{_START}, c AS MATERIALIZED (SELECT pattern, m, (SELECT round(sum(log2(greatest(2, n))), 9) FROM size WHERE size.pattern = mask.pattern AND (m >> v) & 1 = 1) AS w, (SELECT list(v ORDER BY v) FROM pv WHERE pv.pattern = mask.pattern AND (m >> v) & 1 = 1) AS vs
+FROM mask WHERE NOT EXISTS (SELECT 1 FROM pe WHERE pe.pattern = mask.pattern AND (m >> a) & 1 = 0 AND (m >> b) & 1 = 0))
+SELECT pattern, array_to_string(arg_min(vs, (w, len(vs), vs)), ',') AS cover FROM c GROUP BY 1""",
+)(lambda s, d: s.createDataFrame([(name, ",".join(map(str, sorted(planner.smallest(planner.covers(p, Query(graph(s, d), p, Config(pruning="ldf")).sizes)))))) for name, p in PATTERNS.items()], "pattern string, cover string"))
 _LINES = "t 5 6\nv 10 1 2\nv 11 2 3\nv 12 3 3\nv 13 3 2\nv 14 9 2\ne 10 11\ne 10 12\ne 10 13\ne 11 12\ne 11 13\ne 13 14"
 _query("count_induced_pattern", _count_sql(PATTERNS["diamond"]))(lambda s, d: Query(graph(s, d), text.read_pattern(_LINES).induced([0, 1, 2, 3]), Config(pruning="nlf")).count())
 _query("settings", "SELECT * FROM (VALUES ('cps=gql, mo=2 0 1, cs=eager, limit=25', 'gql', 'eager', '2 0 1', 25::BIGINT), ('limit=0', 'cfl', 'dynamic', '', NULL), ('compression_strategy=none', 'cfl', 'none', '', NULL)) t(given, pruning, compression, matching_order, match_limit)")(
