@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import BitFilter, discard, salted_join, settle
+from graphloom.llm.common import BitFilter, discard, literal_rows, salted_join, settle
 
 #: Hamming radius of the index: at weighted similarity 0.8 fingerprints differ in about 10 of 64 bits.
 RADIUS = 19
@@ -66,7 +66,7 @@ def within_radius(own: DataFrame, theirs: DataFrame, radius: int = RADIUS) -> Da
     left = own.select("k", "n", "fp").distinct().select("k", "n", "fp", F.inline(_blocks("fp")))
     right = theirs.select("k", "n", "item_id", "ifp", F.inline(_blocks("ifp"))).withColumn("turn", F.explode(F.lit(turned)))
     right = right.select("k", "n", "item_id", "ifp", "block", F.col("bits").bitwiseXOR(F.col("turn")).alias("bits"))
-    met = salted_join(left, right, ["k", "n", "block", "bits"])
+    met = salted_join(left, right, ["k", "n", "block", "bits"], hint="merge")
     return met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius).select("k", "n", "fp", "item_id").distinct()
 
 
@@ -102,7 +102,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, width: int = 5, percent: int =
     widths = sorted(r["k"] for r in item.select("k").distinct().collect())
     if not widths:
         discard(item)
-        return spark.createDataFrame([], docs.select("doc_id").schema.add(items.select("item_id").schema[0]).add("similarity", "double").add("first_word", "long"))
+        return literal_rows(spark, [], docs.select("doc_id").schema.add(items.select("item_id").schema[0]).add("similarity", "double").add("first_word", "long"))
     hashed = reduce(DataFrame.union, [item.where(F.col("k") == k).select("item_id", "k", "n", _hashes("w", k).alias("hs")) for k in widths])
     shingle = settle(hashed.select("item_id", "k", "n", F.explode("hs").alias("h")), "shingles")
     known = settle(shingle.select("k", "h", "n").distinct(), "known")
@@ -110,7 +110,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, width: int = 5, percent: int =
     # Places of the documents where an item's shingle stands, and the windows with enough of them.
     worded = docs.where("doc_id is not null").select("doc_id", words_of("text").alias("w"))
     places = reduce(DataFrame.union, [worded.select("doc_id", F.lit(k).alias("k"), (F.size("w") - k + 1).alias("last"), F.posexplode(_hashes("w", k)).alias("pos", "h")) for k in widths])
-    held = settle(BitFilter(known, "k", "h").among(places), "places")
+    held = settle(BitFilter(known, "k", "h", per_key=1024).among(places), "places")
     windows = settle(_windows(salted_join(held, known, ["k", "h"]).select("doc_id", "k", "last", "n", "pos"), percent), "windows")
 
     # Their hashes; a window's content is known by two hashes of them.
