@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -11,9 +12,10 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Entries that a worker's word cache may hold before it is emptied.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 
 
 _tool: list = []
@@ -26,11 +28,37 @@ def worker_tool(key, make):
     """
     if not _tool or _tool[0] != key:
         _tool.clear()
-        gc.collect()
+        release()
         _tool[:] = [key, make()]
     return _tool[1]
 
 
+def release() -> None:
+    """Give memory that a fit on the driver has used back to the system, where the C library can."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+@lru_cache(1)
+def one_thread() -> None:
+    """Keep matrix products of this process on one thread: executors run a task on every core, and products here are small."""
+    import numpy  # noqa: F401  (loads the library)
+
+    try:
+        with open("/proc/self/maps") as maps:
+            paths = {line.split()[-1] for line in maps if "openblas" in line}
+    except OSError:
+        return
+    for path in paths:
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            f = getattr(ctypes.CDLL(path), name, None)
+            if f:
+                f(1)
+                break
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -87,11 +115,11 @@ def discard(df: DataFrame) -> None:
 class BitFilter:
     """Tells, without a shuffle, which rows may hold one of the given keys: a bit array in a broadcast row.
 
-    It takes ``per_key`` bits a key, 16 MB at most however many keys there are; a fuller one lets more
+    It takes ``per_key`` bits a key, 32 MB at most however many keys there are; a fuller one lets more
     rows through, which an exact join afterwards sorts out. Nulls are no keys.
     """
 
-    MOST = 27
+    MOST = 28
 
     def __init__(self, keys: DataFrame, *columns: str, per_key: int = 16):
         self.columns = columns
@@ -128,16 +156,28 @@ def without_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFra
     return known.clear(docs).select(*docs.columns).union(left)
 
 
+def literal_rows(spark: SparkSession, rows: list, schema: StructType) -> DataFrame:
+    """A few rows as a table without Python workers."""
+    lit = lambda v, f: F.lit(bytes(v) if isinstance(v, bytearray) else v).cast(f.dataType).alias(f.name)
+    if not rows:
+        return spark.range(0).select(*(lit(None, f) for f in schema))
+    return spark.range(1).select(F.inline(F.array(*(F.struct(*(lit(v, f) for v, f in zip(r, schema))) for r in rows))))
+
+
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", least: int = 1024, hint: str | None = None) -> DataFrame:
     """An equi-join whose left side may hold a key any number of times (right: few times a key).
 
-    Keys with more than 1 / 512 of the left rows (so fewer than 512 keys, which are broadcast) are
+    Keys with more than 1 / 512 of the left rows (so fewer than 512 keys, which the driver sees) are
     dealt over as many shares, and their right rows are repeated for each share. ``hint`` fixes the kind of join, where
     a right side looks smaller to the planner than it is.
     """
     share = max(least, left.count() // 512)
-    hot = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > share).select(*keys, F.ceil(F.col("__n") / share).cast("int").alias("__shares"))
-    hot = settle(hot, "hot")
+    counted = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > share)
+    hot = counted.select(*keys, F.ceil(F.col("__n") / share).cast("int").alias("__shares"))
+    rows = hot.collect()
+    if not rows:
+        return left.join(right.hint(hint) if hint else right, keys, how)
+    hot = literal_rows(left.sparkSession, rows, hot.schema)
     shares = F.coalesce("__shares", F.lit(1))
     rest = [c for c in left.columns if c not in keys]
     own = left.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*rest) if rest else F.monotonically_increasing_id(), shares).cast("int")).drop("__shares")
@@ -145,6 +185,18 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return own.join(other.hint(hint) if hint else other, [*keys, "__salt"], how).drop("__salt")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 512):
+    """Jobs run inside send Python workers so many rows at a time: whole texts and sets are long, and both sides hold a batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def crc_mod(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id written as text, modulo ``n``; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n

@@ -105,7 +105,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str | None = None, limit: int
     """One row per input row: id, UTF-8 bytes, tokens, whether tokens exceed ``limit``.
 
     Null text counts as empty (0 bytes, 0 tokens); a null id is kept; repeated rows each give a row;
-    columns other than the two are ignored. One pass, no shuffle.
+    columns other than the two are ignored; an empty table gives no rows. One pass, no shuffle.
     """
     path = tokenizer_path or default_vocabulary()
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import discard, salted_join, settle
+from graphloom.llm.common import discard, one_thread, salted_join, settle
 from graphloom.llm.components import components
 
 #: Buckets of a table that a vector is found in: its own, and the next best by either of two hashes.
@@ -146,6 +146,7 @@ class _Comparer:
                 yield left[k : k + 256], right, i[rows[0]] == j[rows[0]]
 
     def __call__(self, t: pa.Table) -> pa.RecordBatch:
+        one_thread()
         rep, weight, table, key, i, j, mine = (t[c].to_numpy() for c in ("rep", "weight", "table", "key", "i", "j", "mine"))
         vecs = t["vec"].to_pylist()
         wide = np.array([len(v) for v in vecs])
