@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import CACHE_ENTRIES, crc_mod, held_out, worker_tool
+from graphloom.llm.common import CACHE_ENTRIES, crc_mod, held_out, release, worker_tool
 
 _LETTER = re.compile(r"[^\W\d_]")
 RESULT = "lang_pred string, score double"
@@ -286,7 +286,10 @@ def fit(docs: DataFrame, vocabulary_path: str | None = None, docs_per_language:
         place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / F.lit(1e6)
         for r in labelled.where(place < rate[F.col("lang")]).select("lang", "text").toLocalIterator():
             words[r["lang"]].update(r["text"].lower().split())
-    return fit_words({k: c for k, c in words.items() if c}, vocabulary_path or default_vocabulary())
+    model = fit_words({k: c for k, c in words.items() if c}, vocabulary_path or default_vocabulary())
+    del words
+    release()
+    return model
 
 
 def predictor(df: DataFrame, model: LanguageModel, text: str | Column = "text") -> Column:

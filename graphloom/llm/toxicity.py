@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import CACHE_ENTRIES, crc_mod, held_out, worker_tool
+from graphloom.llm.common import CACHE_ENTRIES, crc_mod, held_out, release, worker_tool
 
 RESULT = "score double, predicted int"
 
@@ -128,20 +128,26 @@ def _features(counts: np.ndarray) -> list[float]:
     return out
 
 
-def _telling(plain: list[frozenset[bytes]], bad: list[frozenset[bytes]], least: float = 15.0, ratio: float = 8.0) -> set[bytes]:
-    """Heads of words (4 to 12 bytes) that toxic documents hold significantly more often: what ordinary text uses too is out."""
-    a: Counter = Counter()
-    for words in bad:
-        a.update({w[:n] for w in words for n in range(4, min(12, len(w)) + 1)})
-    heads = {h for h, n in a.items() if n >= 3}
-    b: Counter = Counter()
-    for words in plain:
-        b.update({h for w in words for n in range(4, min(12, len(w)) + 1) if (h := w[:n]) in heads})
-    out = set()
-    for h in heads:
-        x, y = a[h] / len(bad), (b[h] + 0.5) / len(plain)
-        if x >= ratio * y and a[h] * np.log(x / y) >= least:
-            out.add(h)
+def _telling(plain: list[list[bytes]], bad: list[list[bytes]], least: float = 15.0, ratio: float = 8.0, seldom: int = 3) -> set[bytes]:
+    """Heads of windows (4 to 12 bytes) that toxic documents hold significantly more often: what ordinary text uses too is out.
+
+    Counted length by length: a head is only looked at if it is in ``seldom`` toxic documents without its last byte.
+    """
+    out: set[bytes] = set()
+    shorter: set[bytes] | None = None
+    for n in range(4, 13):
+        a: Counter = Counter()
+        for windows_ in bad:
+            a.update({w[:n] for w in windows_ if len(w) >= n and (shorter is None or w[: n - 1] in shorter)})
+        a = Counter({h: c for h, c in a.items() if c >= seldom})
+        b: Counter = Counter()
+        for windows_ in plain:
+            b.update({h for w in windows_ if len(w) >= n and (h := w[:n]) in a})
+        for h, c in a.items():
+            x, y = c / len(bad), (b[h] + 0.5) / len(plain)
+            if x >= ratio * y and c * np.log(x / y) >= least:
+                out.add(h)
+        shorter = set(a)
     return out
 
 
@@ -165,12 +171,10 @@ def fit_windows(found: list[list[bytes]], toxic: list[int], cut: float = 0.7, od
     n = sum(len(f) // 8 + 1 for f, k in zip(found, toxic) if not k)
     ordinary = _content(list(islice(lines(0), 0, None, max(1, n // stretches))), ordinary_size)
     # Toxic text is mostly ordinary words: the toxic dictionary is trained on what is left of it without them.
-    sets = [frozenset(f) for f in found]
-    heads = _telling([s for s, k in zip(sets, toxic) if not k], [s for s, k in zip(sets, toxic) if k])
-    tells = {w for s, k in zip(sets, toxic) if k for w in s if any(w[:n] in heads for n in range(4, min(12, len(w)) + 1))}
+    heads = _telling([f for f, k in zip(found, toxic) if not k], [f for f, k in zip(found, toxic) if k])
+    tells = {w for f, k in zip(found, toxic) if k for w in set(f) if any(w[:n] in heads for n in range(4, min(12, len(w)) + 1))}
     rest = [b" " + b" ".join(w for w in f if w in tells) + b" " for f, k in zip(found, toxic) if k]
     part = _content([r for r in rest if len(r) > 2], toxic_size)
-    del sets
     scorer = Scorer(ToxicityModel(ordinary, part, np.zeros(0), (), 0.0, cut))
     saved: dict[bytes, tuple[int, int, int]] = {}
     seen = np.full((2, MOST + 1, MOST + 1, LEFT + 1), 0.5)
@@ -219,7 +223,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = (3000, 1500)
     for r in docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text").toLocalIterator():
         found.append([one.setdefault(w, w) for w in windows(r["text"])])
         toxic.append(r["toxic"])
-    return fit_windows(found, toxic, cut=cut, odds=sizes[1] / sizes[0])
+    model = fit_windows(found, toxic, cut=cut, odds=sizes[1] / sizes[0])
+    del one, found
+    release()
+    return model
 
 
 def scorer_column(df: DataFrame, model: ToxicityModel, text: str | Column = "text") -> Column:
