@@ -35,9 +35,8 @@ class LabeledGraph:
         return cls(held, edges)
 
     def persist(self) -> "LabeledGraph":
-        """Keep both tables, the edges dealt by ``src`` so that expansions and groupings by it need no shuffle of them."""
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        self.edges = self.edges.repartition(n, "src").persist()
+        """Keep both tables and, once they are asked for, the neighbours' labels and degrees. Edges are not dealt by ``src``: a hub's would be one block."""
+        self.edges.persist()
         self.vertices.persist()
         self._kept = True
         return self
