@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import CACHE_ENTRIES, BitFilter, discard, salted_join, settle, text_batches, worker_tool
+from graphloom.llm.common import CACHE_ENTRIES, BitFilter, discard, salted_join, settle, small_batches, text_batches, worker_tool
 from graphloom.llm.components import components
 
 #: Coordinates; coordinates to a band (packed as 16 bits each into one long); seeds of the rounds.
@@ -179,6 +179,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Rows of one id belong together, whatever their texts: each gets its own n_shingles and the id's component.
     An empty table gives no rows. Columns other than doc_id and text are ignored.
     """
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, width, percent)
+
+
+def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
     every = settle(_sketches(rows, width), "sketches")
     linked = every.where("n_shingles > 0 and doc_id is not null")
