@@ -185,6 +185,16 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return own.join(other.hint(hint) if hint else other, [*keys, "__salt"], how).drop("__salt")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Have the session send Python workers at most so many rows at a time, unless it asks for fewer: texts are long, and both sides hold a batch.
+
+    For operators whose result is computed after they return.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 512):
     """Jobs run inside send Python workers so many rows at a time: whole texts and sets are long, and both sides hold a batch."""

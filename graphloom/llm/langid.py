@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import CACHE_ENTRIES, crc_mod, held_out, release, worker_tool
+from graphloom.llm.common import CACHE_ENTRIES, bounded_batches, crc_mod, held_out, release, worker_tool
 
 _LETTER = re.compile(r"[^\W\d_]")
 RESULT = "lang_pred string, score double"
@@ -294,6 +294,7 @@ def fit(docs: DataFrame, vocabulary_path: str | None = None, docs_per_language:
 
 def predictor(df: DataFrame, model: LanguageModel, text: str | Column = "text") -> Column:
     """Column struct<lang_pred, score> for a text column. The model's size is bounded by its vocabulary."""
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(RESULT)

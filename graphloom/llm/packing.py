@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import CACHE_ENTRIES, LETTER, PLAIN, settle, stand_ins, text_batches, worker_tool
+from graphloom.llm.common import CACHE_ENTRIES, LETTER, PLAIN, bounded_batches, settle, stand_ins, text_batches, worker_tool
 
 #: The pre-tokenizer's pattern, for lower-cased chunks of plain characters.
 _PART = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^\\s0-9{LETTER}]+")
@@ -149,6 +149,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = 4096, e
 
         tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
     path = tokenizer_path
+    bounded_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
     kinds = [pa.int64(), pa.bool_(), None, *[pa.int64()] * 5, pa.binary()]

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import CACHE_ENTRIES, crc_mod, held_out, release, worker_tool
+from graphloom.llm.common import CACHE_ENTRIES, bounded_batches, crc_mod, held_out, release, worker_tool
 
 RESULT = "score double, predicted int"
 
@@ -231,6 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = (3000, 1500)
 
 def scorer_column(df: DataFrame, model: ToxicityModel, text: str | Column = "text") -> Column:
     """Column struct<score, predicted> for a text column; the model is two dictionaries of fixed size."""
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(RESULT)
