@@ -25,15 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import crc_mod, held_out, settle, text_batches, worker_tool
+from graphloom.llm.common import crc_mod, held_out, one_thread, settle, text_batches, worker_tool
 
 LOG10 = float(np.log(10.0))
 #: Words predicted one by one; words to a class; classes of the other words; hidden and input size.
-HEAD, CLASS, TAIL, HIDDEN = 2048, 48, 64, 16
+HEAD, CLASS, TAIL, HIDDEN = 2048, 64, 64, 24
 #: Rounds of training, each on another slice of the documents.
 ROUNDS = 4
-#: A word is looked up in memory if it makes up 1 / FREQUENT of the training tokens: no more than FREQUENT words do.
-FREQUENT = 1 << 20
+#: Words looked up in memory, at most: the most frequent ones down to a power of two. The others meet their counts in a join.
+FREQUENT = 1 << 19
 
 
 def words_of(text: str) -> list[bytes]:
@@ -44,6 +44,13 @@ def tail_class(word: bytes) -> int:
     return crc32(word[-3:]) % TAIL
 
 
+class Places(dict):
+    """Places of words; -1 for others."""
+
+    def __missing__(self, word) -> int:
+        return -1
+
+
 @dataclass(eq=False)
 class Vocabulary:
     """Head words by falling count (the end token last), frequent words' counts, and the tail classes' totals."""
@@ -76,7 +83,7 @@ class Vocabulary:
         cls = np.array([tail_class(w) for w in self.frequent], np.int64) if self.frequent else np.zeros(0, np.int64)
         ids = np.array([at.get(w, -1) for w in self.frequent], np.int32) if self.frequent else np.zeros(0, np.int32)
         share = np.where(ids >= 0, 0.0, self.tail_share(self.frequent_counts, cls)) if len(ids) else np.zeros(0)
-        return {w: k for k, w in enumerate(self.frequent)}, np.where(ids >= 0, ids, self.end + 1 + cls).astype(np.int32), self.base(self.frequent_counts), share
+        return Places((w, k) for k, w in enumerate(self.frequent)), np.where(ids >= 0, ids, self.end + 1 + cls).astype(np.int32), self.base(self.frequent_counts), share
 
 
 def first_weights(v: Vocabulary, hidden: int = HIDDEN, seed: int = 11) -> dict[str, np.ndarray]:
@@ -86,7 +93,7 @@ def first_weights(v: Vocabulary, hidden: int = HIDDEN, seed: int = 11) -> dict[s
     small = lambda *s: rng.normal(0, 0.08, s).astype(np.float32)
     zero = lambda *s: np.zeros(s, np.float32)
     return {
-        "E": small(v.inputs, hidden), "Wx": rng.normal(0, 0.25, (hidden, 3 * hidden)).astype(np.float32), "b": zero(3 * hidden), "U": rng.normal(0, 0.25, (hidden, 3 * hidden)).astype(np.float32), "bn": zero(hidden),
+        "E": small(v.inputs, hidden), "Wx": rng.normal(0, 0.25, (hidden, 2 * hidden)).astype(np.float32), "b": zero(2 * hidden), "U": rng.normal(0, 0.25, (hidden, 2 * hidden)).astype(np.float32),
         "Wc": small(hidden, v.classes), "bc": np.log(by_class / by_class.sum()).astype(np.float32), "Wo": small(v.end + 1, hidden), "bo": np.log(counts).astype(np.float32),
     }
 
@@ -102,18 +109,21 @@ def _classes_of(ids: np.ndarray, v: Vocabulary) -> np.ndarray:
 def _log_probs(w, h: np.ndarray, ids: np.ndarray, v: Vocabulary, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log probability of each id from its state; with ``grads``, also adds the loss's gradients and returns that of h."""
     cls, n = _classes_of(ids, v), np.arange(len(ids))
-    logits = h @ w["Wc"] + w["bc"]
-    logits -= logits.max(1, keepdims=True)
-    p = np.exp(logits)
-    total = p.sum(1)
-    out = logits[n, cls] - np.log(total)
+    # a row for each class, so that sums over classes run along rows
+    p = w["Wc"].T @ h.T
+    p += w["bc"][:, None]
+    p -= p.max(0)
+    out = p[cls, n]
+    np.exp(p, out=p)
+    total = p.sum(0)
+    out -= np.log(total)
     dh = None
     if grads is not None:
-        p /= total[:, None]
-        p[n, cls] -= 1
-        grads["Wc"] += h.T @ p
-        grads["bc"] += p.sum(0)
-        dh = p @ w["Wc"].T
+        p /= total
+        p[cls, n] -= 1
+        grads["Wc"] += (p @ h).T
+        grads["bc"] += p.sum(1)
+        dh = np.ascontiguousarray((w["Wc"] @ p).T)
     inner = np.flatnonzero(ids <= v.end)
     order = inner[np.argsort(cls[inner], kind="stable")]
     bounds = np.flatnonzero(np.diff(cls[order], prepend=-1, append=-1))
@@ -121,77 +131,93 @@ def _log_probs(w, h: np.ndarray, ids: np.ndarray, v: Vocabulary, grads: dict | N
         rows = order[a:b]
         lo = int(cls[rows[0]]) * CLASS
         hi = min(lo + CLASS, v.end + 1)
-        held = h[rows]
-        x = held @ w["Wo"][lo:hi].T + w["bo"][lo:hi]
-        x -= x.max(1, keepdims=True)
-        q = np.exp(x)
-        t = q.sum(1)
-        k = np.arange(len(rows))
-        out[rows] += x[k, ids[rows] - lo] - np.log(t)
+        held, k, at = h[rows], np.arange(len(rows)), ids[rows] - lo
+        q = w["Wo"][lo:hi] @ held.T
+        q += w["bo"][lo:hi, None]
+        q -= q.max(0)
+        found = q[at, k]
+        np.exp(q, out=q)
+        t = q.sum(0)
+        out[rows] += found - np.log(t)
         if grads is not None:
-            q /= t[:, None]
-            q[k, ids[rows] - lo] -= 1
-            grads["Wo"][lo:hi] += q.T @ held
-            grads["bo"][lo:hi] += q.sum(0)
-            dh[rows] += q @ w["Wo"][lo:hi]
+            q /= t
+            q[at, k] -= 1
+            grads["Wo"][lo:hi] += q @ held
+            grads["bo"][lo:hi] += q.sum(1)
+            dh[rows] += q.T @ w["Wo"][lo:hi]
     return out, dh
 
 
-def train(w: dict, docs: list[np.ndarray], v: Vocabulary, lanes: int = 32, steps: int = 16, rate: float = 0.01, most: int = 256, updates: int = 128) -> dict:
+def _step(a: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gate, candidate, next state) from the input's part ``a``: the gate keeps of the state what it does not take from the candidate."""
+    size = h.shape[1]
+    g = h @ u
+    g += a
+    z = _sigmoid(g[:, :size])
+    n = np.tanh(g[:, size:])
+    new = h - n
+    new *= z
+    new += n
+    return z, n, new
+
+
+def window_gradients(w: dict, x: np.ndarray, real: np.ndarray, h: np.ndarray, v: Vocabulary) -> tuple[float, dict, np.ndarray]:
+    """(loss, gradients of its sum, last state) of a window x (lanes x steps) from state h, where ``real``; backpropagation ends at the window's start."""
+    (lanes, t_all), size = x.shape, w["U"].shape[0]
+    xt = np.ascontiguousarray(x.T)
+    e = w["E"][xt]
+    proj = e @ w["Wx"] + w["b"]
+    keep = (xt != v.end).astype(w["U"].dtype)[:, :, None]
+    saved, before = [], np.zeros((t_all, lanes, size), w["U"].dtype)
+    for t in range(t_all):
+        before[t] = h
+        z, n, h = _step(proj[t], h, w["U"])
+        saved.append((z, n))
+        h = h * keep[t]
+    grads = {k: np.zeros_like(a) for k, a in w.items()}
+    told, dout = real.T, np.zeros((t_all, lanes, size), w["U"].dtype)
+    logs, dout[told] = _log_probs(w, before[told], xt[told], v, grads)
+    dproj, dh, back = np.empty_like(proj), np.zeros((lanes, size), w["U"].dtype), w["U"].T.copy()
+    for t in range(t_all - 1, -1, -1):
+        z, n = saved[t]
+        dh *= keep[t]
+        kept = dh * z
+        dg = dproj[t]
+        np.multiply(kept * (before[t] - n), 1 - z, out=dg[:, :size])
+        np.multiply(dh - kept, 1 - n * n, out=dg[:, size:])
+        dh = dg @ back
+        dh += kept
+        dh += dout[t]
+    flat = dproj.reshape(-1, 2 * size)
+    grads["U"] += before.reshape(-1, size).T @ flat
+    grads["Wx"] += e.reshape(-1, size).T @ flat
+    grads["b"] += flat.sum(0)
+    order = np.argsort(xt, axis=None, kind="stable")
+    found, first = np.unique(xt.reshape(-1)[order], return_index=True)
+    grads["E"][found] = np.add.reduceat((flat @ w["Wx"].T)[order], first)
+    return -float(logs.sum()), grads, h
+
+
+def train(w: dict, docs: list[np.ndarray], v: Vocabulary, lanes: int = 32, steps: int = 16, rate: float = 0.01, most: int = 512, updates: int = 128) -> dict:
     """One pass of truncated backpropagation with Adam over all tokens of the documents, dealt over parallel lanes.
 
     Long streams get up to ``most`` lanes, as long as ``updates`` steps of Adam are left.
     """
     if not docs:
         return w
+    one_thread()
     stream = np.concatenate(docs)
     lanes = max(lanes, min(most, len(stream) // (steps * updates)))
     lanes = max(1, min(lanes, len(stream) // (2 * steps) or 1))
     width = -(-len(stream) // lanes)
     real = (np.arange(lanes * width) < len(stream)).reshape(lanes, width)
     ids = np.append(stream, np.full(lanes * width - len(stream), v.end)).astype(np.int32).reshape(lanes, width)
-    size = w["U"].shape[0]
     w = {k: x.copy() for k, x in w.items()}
     m, s = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
-    h, turn = np.zeros((lanes, size), np.float32), 0
+    h, turn = np.zeros((lanes, w["U"].shape[0]), np.float32), 0
     for at in range(0, width, steps):
-        x = ids[:, at : at + steps]
-        t_all = x.shape[1]
-        e = w["E"][x]
-        proj = e @ w["Wx"] + w["b"]
-        saved, before = [], np.zeros((t_all, lanes, size), np.float32)
-        for t in range(t_all):
-            before[t] = h
-            g = h @ w["U"]
-            zr = _sigmoid(proj[:, t, : 2 * size] + g[:, : 2 * size])
-            z, r = zr[:, :size], zr[:, size:]
-            gn = g[:, 2 * size :] + w["bn"]
-            nn = np.tanh(proj[:, t, 2 * size :] + r * gn)
-            keep = (x[:, t] != v.end).astype(np.float32)[:, None]
-            saved.append((z, r, nn, gn, h, keep))
-            h = (nn + z * (h - nn)) * keep
-        grads = {k: np.zeros_like(a) for k, a in w.items()}
-        told, dout = real[:, at : at + steps].T, np.zeros((t_all, lanes, size), np.float32)
-        dout[told] = _log_probs(w, before[told], x.T[told], v, grads)[1]
-        dproj, dh = np.zeros_like(proj), np.zeros((lanes, size), np.float32)
-        for t in range(t_all - 1, -1, -1):
-            z, r, nn, gn, hp, keep = saved[t]
-            dh = dh * keep
-            dan = dh * (1 - z) * (1 - nn * nn)
-            dz = dh * (hp - nn) * z * (1 - z)
-            dr = dan * gn * r * (1 - r)
-            dgn = dan * r
-            dg = np.concatenate([dz, dr, dgn], 1)
-            dproj[:, t] = np.concatenate([dz, dr, dan], 1)
-            grads["U"] += hp.T @ dg
-            grads["bn"] += dgn.sum(0)
-            dh = dh * z + dg @ w["U"].T + dout[t]
-        flat, into = dproj.reshape(-1, 3 * size), e.reshape(-1, size)
-        grads["Wx"] += into.T @ flat
-        grads["b"] += flat.sum(0)
-        order = np.argsort(x, axis=None, kind="stable")
-        found, first = np.unique(x.reshape(-1)[order], return_index=True)
-        grads["E"][found] = np.add.reduceat((flat @ w["Wx"].T)[order], first)
+        told = real[:, at : at + steps]
+        _, grads, h = window_gradients(w, ids[:, at : at + steps], told, h, v)
         turn += 1
         scale = 1.0 / told.sum()
         for k, g in grads.items():
@@ -211,6 +237,7 @@ class Model:
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """Natural log probability of each document's ids."""
+        one_thread()
         w, v, size, out = self.w, self.v, self.w["U"].shape[0], np.zeros(len(docs))
         order = sorted(range(len(docs)), key=lambda k: -len(docs[k]))
         lanes = min(self.lanes, len(docs))
@@ -236,13 +263,10 @@ class Model:
                 x[: len(part), b] = part
             steps = int(count.max())
             before = np.zeros((steps, lanes, size), np.float32)
+            proj = self.proj[x[:steps]]
             for t in range(steps):
                 before[t] = h
-                a, g = self.proj[x[t]], h @ w["U"]
-                zr = _sigmoid(a[:, : 2 * size] + g[:, : 2 * size])
-                z = zr[:, :size]
-                nn = np.tanh(a[:, 2 * size :] + zr[:, size:] * (g[:, 2 * size :] + w["bn"]))
-                h = nn + z * (h - nn)
+                h = _step(proj[t], h, w["U"])[2]
             real = np.arange(steps)[:, None] < count
             logs, _ = _log_probs(w, before[real], x[:steps][real], v)
             np.add.at(out, np.broadcast_to(own, (steps, lanes))[real], logs.astype(np.float64))
@@ -276,17 +300,20 @@ def vocabulary(counts: DataFrame, documents: int) -> Vocabulary:
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("w")).first()
     head = counts.orderBy(F.col("n").desc(), "word").limit(HEAD).collect()
     tokens, words = total["n"] + documents, total["w"] + (documents > 0)
-    least = max(1, -(-tokens // FREQUENT))
-    if head:
-        least = min(least, head[-1]["n"])
-    # no more than FREQUENT words, or the head's, are that frequent
-    frequent = counts.where(F.col("n") >= least).select("word", "n").toArrow()
+    sizes = {r["k"]: r["w"] for r in counts.groupBy(F.floor(F.log2("n") + 1e-9).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("w")).collect()}
+    least, held = 64, 0
+    while least > 0 and held + sizes.get(least - 1, 0) <= FREQUENT:
+        least -= 1
+        held += sizes.get(least, 0)
+    found = counts.where(F.col("n") >= F.lit(float(2**least))).select("word", "n").toArrow()
+    frequent = dict(zip(found["word"].to_pylist(), found["n"].to_pylist()))
+    frequent |= {bytes(r["word"]): r["n"] for r in head}
     tail = np.zeros((2, TAIL), np.int64)
     for r in counts.groupBy("cls").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("w")).collect():
         tail[:, r["cls"]] = r["n"], r["w"]
     for r in head:
         tail[:, r["cls"]] -= r["n"], 1
-    return Vocabulary([bytes(r["word"]) for r in head], np.array([r["n"] for r in head], np.int64), frequent["word"].to_pylist(), frequent["n"].to_numpy(), tail[0], tail[1], tokens, words, documents)
+    return Vocabulary([bytes(r["word"]) for r in head], np.array([r["n"] for r in head], np.int64), list(frequent), np.array(list(frequent.values()), np.int64), tail[0], tail[1], tokens, words, documents)
 
 
 def _tool(shared):
@@ -295,9 +322,9 @@ def _tool(shared):
     return worker_tool(("lm", id(v)), lambda: (v, *v.lookup()))
 
 
-def _ids(words: list[bytes], v: Vocabulary, place: dict, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _ids(words: list[bytes], v: Vocabulary, place: Places, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Input ids of the words and the end; places of the frequent words, -1 for others."""
-    at = np.fromiter((place.get(w, -1) for w in words), np.int64, len(words))
+    at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
     out = np.empty(len(words) + 1, np.int32)
     out[-1] = v.end
     if len(ids):
@@ -352,26 +379,29 @@ def encode(rows: DataFrame, v: Vocabulary) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(v)
     end_base, end_known = float(v.base(v.documents)), int(v.documents > 0)
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("cls", pa.int32()), ("n", pa.int64())]))
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), rare_type]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
 
     def run(batches):
         vocab, place, ids, base, share = _tool(shared)
         rid = TaskContext.get().partitionId() << 33
         for batch in batches:
             for at, texts in text_batches(batch):
-                held = []
+                held, rare, classes, ends = [], [], [np.zeros(0, np.int32)], [0]
                 for text in texts:
                     words = words_of(text)
                     x, k = _ids(words, vocab, place, ids)
-                    known = k[k >= 0]
-                    rare = Counter([words[i] for i in np.flatnonzero(k < 0)])
-                    held.append((rid, len(x), len(known) + end_known, float(base[known].sum()) + end_base, float(share[known].sum()), x.astype("<u2").tobytes(), [{"word": w, "cls": tail_class(w), "n": n} for w, n in rare.items()]))
+                    known, unknown = k[k >= 0], np.flatnonzero(k < 0)
+                    rare += [words[i] for i in unknown.tolist()]
+                    classes.append(x[unknown] - vocab.end - 1)
+                    ends.append(len(rare))
+                    held.append((rid, len(x), len(known) + end_known, float(base[known].sum()) + end_base, float(share[known].sum()), x.astype("<u2").tobytes()))
                     rid += 1
                 rids, *cols = [pa.array(c, k) for c, k in zip(zip(*held), kinds)]
+                flat = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(np.concatenate(classes), pa.int32())], ["word", "cls"])
+                cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat))
                 yield pa.record_batch([rids, batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), *cols], ["rid", "doc_id", "part", "n_tokens", "n_known", "base", "share", "ids", "rare"])
 
-    return rows.mapInArrow(run, f"rid bigint, doc_id {id_type}, part int, n_tokens bigint, n_known bigint, base double, share double, ids binary, rare array<struct<word: binary, cls: int, n: bigint>>")
+    return rows.mapInArrow(run, f"rid bigint, doc_id {id_type}, part int, n_tokens bigint, n_known bigint, base double, share double, ids binary, rare array<struct<word: binary, cls: int>>")
 
 
 def score(docs: DataFrame, fold: tuple[int, int] = (10, 0), rounds: int = ROUNDS, pool: int = 1_500_000) -> DataFrame:
@@ -424,9 +454,9 @@ def score(docs: DataFrame, fold: tuple[int, int] = (10, 0), rounds: int = ROUNDS
     floor = F.element_at(F.array(*[F.lit(float(np.log10(a + 0.1 * (b + 1)))) for a, b in zip(v.tail_tokens, v.tail_words)]), F.col("cls") + 1)
     joined = rare.join(counts.select("word", F.col("n").alias("c")), "word", "left")
     sums = joined.groupBy("rid").agg(
-        F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("k"),
-        F.sum(F.col("n") * (F.log10(c + 0.1) - F.lit(log10(v.tokens + 0.1 * (v.words + 1))))).alias("rb"),
-        F.sum(F.col("n") * (F.log10(c + 0.1) - floor)).alias("rl"),
+        F.sum(F.when(c > 0, 1).otherwise(0)).alias("k"),
+        F.sum(F.log10(c + 0.1) - F.lit(log10(v.tokens + 0.1 * (v.words + 1)))).alias("rb"),
+        F.sum(F.log10(c + 0.1) - floor).alias("rl"),
     )
     zero = lambda x: F.coalesce(F.col(x), F.lit(0))
     return scored.join(sums, "rid", "left").select(

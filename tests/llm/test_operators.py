@@ -459,7 +459,7 @@ def test_gradients_of_the_recurrent_part():
     real[2, 5:] = False
     loss = lambda: lm.window_gradients(w, x, real, h, v)[0]
     grads = lm.window_gradients(w, x, real, h, v)[1]
-    for name in ("E", "Wx", "U", "b", "bn", "Wc", "Wo", "bc", "bo"):
+    for name in ("E", "Wx", "U", "b", "Wc", "Wo", "bc", "bo"):
         places = [tuple(rng.integers(0, s) for s in w[name].shape) for _ in range(12)]
         places += [(int(x[r, c]), 1) for r, c in ((0, 0), (0, 2), (1, 3), (2, 5))] if name == "E" else []
         for at in places:
@@ -500,7 +500,10 @@ def test_state_is_carried_and_shares_sum_to_one():
     assert lm.Model(better, v).score([np.tile(np.array([0, 1, 2], np.int32), 20)])[0] > lm.Model(w, v).score([np.tile(np.array([0, 1, 2], np.int32), 20)])[0]
 
 
-def test_scores(spark, rows):
+@pytest.mark.parametrize("head,frequent", [(lm.HEAD, lm.FREQUENT), (16, 40)])  # the latter: most words meet their counts in a join
+def test_scores(spark, rows, monkeypatch, head, frequent):
+    monkeypatch.setattr(lm, "HEAD", head)
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
     out = lm.score(frame(spark, rows)).collect()
     learn = [t or "" for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 10]
     counts = Counter(w for t in learn for w in t.encode().lower().split())
