@@ -16,6 +16,8 @@ from pyspark.sql.types import StructType
 
 #: Entries that a worker's word cache may hold before it is emptied.
 CACHE_ENTRIES = 150_000
+#: The same where tokens are made, which costs more than looking them up by far.
+CHUNK_ENTRIES = 400_000
 
 
 _tool: list = []

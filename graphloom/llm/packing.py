@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import CACHE_ENTRIES, LETTER, PLAIN, bounded_batches, settle, stand_ins, text_batches, worker_tool
+from graphloom.llm.common import CHUNK_ENTRIES, LETTER, PLAIN, bounded_batches, settle, stand_ins, text_batches, worker_tool
 
 #: The pre-tokenizer's pattern, for lower-cased chunks of plain characters.
 _PART = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^\\s0-9{LETTER}]+")
@@ -48,7 +48,7 @@ class WordIds:
 
     def _learn(self, chunks: list[str]) -> None:
         known, parts, merge, plain, odd = self.cache, self.parts, self.tokenizer.model.tokenize, stand_ins(), []
-        if len(parts) > CACHE_ENTRIES:
+        if len(parts) > CHUNK_ENTRIES:
             parts.clear()
         for c in chunks:
             if not PLAIN(c):
@@ -69,7 +69,7 @@ class WordIds:
         split = [() if w else t.split() for t, w in zip(texts, whole)]
         seen: set[str] = set().union(*split)
         missing = [c for c in seen if c not in self.cache]
-        if len(self.cache) + len(missing) > CACHE_ENTRIES:
+        if len(self.cache) + len(missing) > CHUNK_ENTRIES:
             self.cache, missing = {}, list(seen)
         if missing:
             self._learn(missing)

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 
-from graphloom.llm.common import CACHE_ENTRIES, LETTER, PLAIN, byte_table, stand_ins, text_batches, worker_tool
+from graphloom.llm.common import CHUNK_ENTRIES, LETTER, PLAIN, byte_table, stand_ins, text_batches, worker_tool
 
 #: Cuts where byte-level pre-tokenization cuts at white space; the pieces are independent of each other.
 _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
@@ -62,7 +62,7 @@ class TokenCounter:
     def _learn(self, chunks: set[str]) -> None:
         """Count chunks not met before: whole tokens as one, merging only the other parts."""
         known, merge, plain = self.cache, self.tokenizer.model.tokenize, stand_ins()
-        if len(known) + len(chunks) > CACHE_ENTRIES:
+        if len(known) + len(chunks) > CHUNK_ENTRIES:
             known = self.cache = dict.fromkeys(self.whole, 1)
         odd = []
         for c in chunks:
@@ -88,7 +88,7 @@ class TokenCounter:
         known = self.cache.keys()
         missing = {c for c in unknown if c not in known}
         if missing:
-            if len(self.cache) + len(missing) > CACHE_ENTRIES:
+            if len(self.cache) + len(missing) > CHUNK_ENTRIES:
                 missing = unknown - self.whole
             self._learn(missing)
         get = self.cache.__getitem__
