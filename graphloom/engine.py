@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from graphloom.graph import LabeledGraph
 from graphloom.operators import expand as X
 from graphloom.operators import filters, output, scan
+from graphloom.plans import cover, planner, pruning
 from graphloom.plans import order as orders
-from graphloom.plans import planner, pruning
 from graphloom.plans.pattern import Pattern
 from graphloom.work import discard, settle
 
@@ -232,43 +232,88 @@ class Query:
             rel = self._apply(rel, step)
         return rel
 
-    def folded(self) -> tuple["Query", dict[int, DataFrame]] | None:
-        """The pattern without its hanging trees, and the weights (id, w) that these leave; None if there is none.
+    def _walked(self, x: int, run: list[int], y: int, linked, weights: dict[int, DataFrame], beside: DataFrame | None) -> DataFrame:
+        """(src, dst, w): the ways from each x to each y through the run's vertices, summed up at every step; ``beside`` holds pairs that x and y have to be."""
+        walks, to = linked(x, run[0]), run[0]
+        for t in [*run[1:], y]:
+            if to in weights:
+                walks = walks.join(weights.pop(to).toDF("dst", "more"), "dst").select("src", "dst", (F.col("w") * F.col("more")).alias("w"))
+            met = walks.toDF("src", "x", "w").join(linked(to, t).toDF("x", "dst", "v"), "x").where("src <> dst").select("src", "dst", (F.col("w") * F.col("v")).alias("w"))
+            if t == y and beside is not None:
+                met = met.join(beside.toDF("src", "dst", "v"), ["src", "dst"]).select("src", "dst", (F.col("w") * F.col("v")).alias("w"))
+            walks, to = met.groupBy("src", "dst").agg(F.sum("w").alias("w")), t
+        return walks
+
+    def folded(self) -> tuple["Query", dict[int, DataFrame], dict[tuple[int, int], DataFrame]] | None:
+        """The pattern without its hanging trees and long runs, the weights (id, w) and the weighted pairs (src, dst, w) that these leave; None if there is neither.
 
         A vertex with one neighbour whose label no other vertex has never collides with any: its matches are summed up
-        under the neighbour's, from the tips inwards, and need not be listed.
+        under the neighbour's, from the tips inwards, and need not be listed. Nor need those of a run of such vertices with two
+        neighbours each: it becomes a weighted pair of its ends. A cycle is two runs that meet halfway.
         """
         p = self.p
         live, weights = set(range(p.n)), {}
         near = {v: set(p.adj[v]) for v in live}
-        while len(live) > 1 and (tips := [v for v in sorted(live) if len(near[v]) == 1 and p.labels.count(p.labels[v]) == 1]):
-            t = tips[-1]
-            (u,) = near[t]
-            edges = self.edges(u, t)
-            w = F.lit(1).cast("bigint")
-            if t in weights:
-                edges, w = edges.join(weights[t].toDF("dst", "w"), "dst"), F.col("w")
-            new = edges.groupBy(F.col("src").alias("id")).agg(F.sum(w).alias("w"))
-            weights[u] = weights[u].join(new.toDF("id", "more"), "id").select("id", (F.col("w") * F.col("more")).alias("w")) if u in weights else new
-            live.discard(t)
-            near[u].discard(t)
-            weights.pop(t, None)
-        if not weights:
+        pairs: dict[tuple[int, int], DataFrame] = {}
+        alone = {v for v in live if p.labels.count(p.labels[v]) == 1}
+
+        def linked(a: int, b: int) -> DataFrame:
+            if (a, b) in pairs:
+                return pairs[a, b]
+            if (b, a) in pairs:
+                return pairs[b, a].select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
+            return self.edges(a, b).withColumn("w", F.lit(1).cast("bigint"))
+
+        while len(live) > 1:
+            tips = [v for v in sorted(live) if len(near[v]) == 1 and v in alone]
+            if tips:
+                t = tips[-1]
+                (u,) = near[t]
+                edges, w = linked(u, t), F.col("w")
+                if t in weights:
+                    edges, w = edges.join(weights[t].toDF("dst", "more"), "dst"), F.col("w") * F.col("more")
+                new = edges.groupBy(F.col("src").alias("id")).agg(F.sum(w).alias("w"))
+                weights[u] = weights[u].join(new.toDF("id", "more"), "id").select("id", (F.col("w") * F.col("more")).alias("w")) if u in weights else new
+                live.discard(t)
+                near[u].discard(t)
+                weights.pop(t, None)
+                pairs = {ends: table for ends, table in pairs.items() if t not in ends}
+                continue
+            found = cover.long_run({v: near[v] for v in live}, alone.difference(*pairs), self.sizes)
+            if found is None:
+                break
+            x, run, y = found
+            beside = linked(x, y) if y in near[x] else None
+            made = settle(self._walked(x, run, y, linked, weights, beside))
+            for t in run:
+                for other in near[t]:
+                    near[other].discard(t)
+            live -= set(run)
+            near[x].add(y)
+            near[y].add(x)
+            pairs.pop((y, x), None)
+            pairs[x, y] = made
+        if len(live) == p.n:
             return None
         kept = sorted(live, key=lambda v: (v not in weights, v))
         place = {v: k for k, v in enumerate(kept)}
         order = [place[v] for v in self.config.order if v in place] if self.config.order else None
+        left = Pattern([p.labels[v] for v in kept], [(place[a], place[b]) for a in kept for b in near[a]])
         try:
-            order = order and orders.checked_order(p.induced(kept), order)
+            order = order and orders.checked_order(left, order)
         except ValueError:
             order = None
-        rest = Query(self.graph, p.induced(kept), Config(self.config.pruning, self.config.compression, order))
+        rest = Query(self.graph, left, Config(self.config.pruning, self.config.compression, order))
         settled = {place[v]: settle(w) for v, w in weights.items()}
         # a match needs one of every hanging tree, so the weights' ids are the candidates
         rest._cand = {place[v]: settled[place[v]].select("id") if place[v] in settled else self.candidates[v] for v in kept}
         rest._sizes = [rest._cand[k].count() if k in settled else self.sizes[kept[k]] for k in range(len(kept))]
-        rest._forced = sorted(settled)
-        return rest, settled
+        met = {(place[a], place[b]): table for (a, b), table in pairs.items()}
+        for (a, b), table in met.items():
+            rest._edges[a, b] = table.select("src", "dst")
+            rest._edges[b, a] = table.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        rest._forced = sorted({*settled, *(v for ends in met for v in ends)})
+        return rest, settled, met
 
     def count(self) -> DataFrame:
         """One row ``n``. With a limit, a growing share of the root's candidates is looked at until there are enough."""
@@ -279,8 +324,8 @@ class Query:
             rest = self.folded() if self.config.compression != "none" else None
             if rest is None:
                 return output.count(self.relation, self.p)
-            q, weights = rest
-            return output.count(q.relation, q.p, weights=weights) if all(q.sizes) else zero
+            q, weights, pairs = rest
+            return output.count(q.relation, q.p, weights=weights, pairs=pairs) if all(q.sizes) else zero
         for share in SHARES:
             found = output.count(self._relation(None if share == 64 else share), self.p, self.config.limit)
             if share < 64:

@@ -60,17 +60,20 @@ def described(rel: DataFrame) -> DataFrame:
     return rel.select(F.concat_ws(" ", *shown).alias("value"))
 
 
-def count(rel: DataFrame, p: Pattern, limit: int | None = None, weights: dict[int, DataFrame] | None = None) -> DataFrame:
+def count(rel: DataFrame, p: Pattern, limit: int | None = None, weights: dict[int, DataFrame] | None = None, pairs: dict[tuple[int, int], DataFrame] | None = None) -> DataFrame:
     """One row ``n``: embeddings, clipped to the limit.
 
-    ``weights`` (id, w) by key vertex multiply a row's embeddings. With a limit no more rows
-    that have an embedding are taken than it says.
+    ``weights`` (id, w) by key vertex and ``pairs`` (src, dst, w) by two of them multiply a row's embeddings. With a limit no
+    more rows that have an embedding are taken than it says.
     """
     rel = limit_sets(rel, p)
     n = per_row(rel, p)
     for v, w in (weights or {}).items():
         rel = rel.join(w.toDF(key(v), f"w_{v}"), key(v))
         n = n * F.col(f"w_{v}")
+    for (a, b), w in (pairs or {}).items():
+        rel = rel.join(w.toDF(key(a), key(b), f"w_{a}_{b}"), [key(a), key(b)])
+        n = n * F.col(f"w_{a}_{b}")
     found = rel.select(n.alias("n"))
     if limit:
         found = found.where("n > 0").limit(limit)

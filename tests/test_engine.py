@@ -179,3 +179,27 @@ def test_parts(spark):
 def test_disconnected_patterns_are_refused(spark):
     with pytest.raises(ValueError):
         Query(_graph(spark, [0, 0], [(0, 1)]), Pattern([0, 0], []))
+
+
+def test_runs_between_two_vertices_and_long_cycles(spark):
+    rng = random.Random(8)
+    ring = lambda n: [(k, (k + 1) % n) for k in range(n)]
+    patterns = [
+        Pattern(range(10), ring(10)),
+        Pattern(range(5), ring(5)),
+        Pattern([*range(6), 0], [*ring(6), (5, 6)]),  # a cycle that hangs at one vertex
+        Pattern([0, 1, 2, 3, 4, 0, 5], [(0, 1), (1, 2), (2, 5), (0, 3), (3, 4), (4, 5), (4, 6)]),  # two runs, ends of one label, a tip
+        Pattern([0, 1, 2, 0, 0], [(0, 1), (1, 2), (2, 3), (0, 3), (0, 4), (3, 4)]),  # a run beside an edge
+    ]
+    for p in patterns:
+        labels = [k % (max(p.labels) + 1) for k in range(20)]
+        edges = [e for e in combinations(range(20), 2) if rng.random() < 0.6]
+        near, partial = {(a, b) for e in edges for a, b in (e, e[::-1])}, [()]
+        for v in range(p.n):
+            back = [w for w in p.adj[v] if w < v]
+            partial = [(*f, x) for f in partial for x in range(20) if labels[x] == p.labels[v] and x not in f and all((f[w], x) in near for w in back)]
+        g = _graph(spark, labels, edges)
+        q = Query(g, p, Config(pruning="ldf"))
+        assert partial and q.count().first()["n"] == len(partial), p.edges
+        # the run is summed up, not listed
+        assert q.folded()[0].p.n < min(p.n, 5)
