@@ -43,6 +43,16 @@ def release() -> None:
         trim(0)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Have the executors' JVMs collect and give heap that a finished stage has left unused back to the system.
+
+    A heap grows to its limit and stays there, beside which the next stage's Python workers have to find room. One short task
+    for each core, so that every executor gets some; one that gets none keeps its heap.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.call_function("java_method", F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 @lru_cache(1)
 def one_thread() -> None:
     """Keep matrix products of this process on one thread: executors run a task on every core, and products here are small."""

@@ -237,3 +237,15 @@ def test_importance_weights_against_brute_force(spark):
     assert {r["doc_id"] for r in out if r["selected"]} == {r["doc_id"] for r in sorted(out, key=lambda r: -r["key"])[:k]}
     noise = np.array([r["key"] - r["log_weight"] for r in out])
     assert abs(noise.mean() - 0.5772) < 0.35 and 0.8 < noise.std() < 1.8  # Gumbel noise at temperature 1
+
+
+def test_pipeline_stages_start_with_the_memory_of_others_given_back(spark, tmp_path):
+    def whole_collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(beans.get(k).getCollectionCount() for k in range(beans.size()) if "Old" in beans.get(k).getName() or "MarkSweep" in beans.get(k).getName())
+
+    docs = spark.createDataFrame([(1, "one two three"), (2, None)], "doc_id bigint, text string")
+    before = whole_collections()
+    rows = dict(corpus_pipeline.STAGES)["packing"](spark, docs, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in rows} == {1, 2}
+    assert whole_collections() > before
